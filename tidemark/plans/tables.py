@@ -1,0 +1,5 @@
+"""Placeholder of the first plan module."""
+
+from pyspark.sql import functions as F
+
+QUERIES = {"doc_sources": (lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count("*").alias("n")), "SELECT source, count(*) AS n FROM documents GROUP BY source")}
