@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, secrets, simhash, token_files
+from . import embedding_dedup, line_dedup, mixing, quality, secrets, sentencepieces, simhash, token_files, topk_search
 from .common import whole_text
 
 
@@ -56,8 +56,23 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = sentencepieces.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    each = got.select("doc_id", F.posexplode("segmentations").alias("nth", "s"))
+    return each.select("doc_id", (F.col("nth") + 1).alias("nth"), *[F.col("s")[c].alias(c) for c in ("n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip")])
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op5_mix_sources, op6_quality_classifier, op7_simhash_near_dedup, op8_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op4_sentencepiece_sampling, op5_mix_sources, op6_quality_classifier, op7_simhash_near_dedup, op8_token_files, op9_embedding_near_dedup, op10_exact_top_k)}
 
 
 ORACLE = {
@@ -70,6 +85,22 @@ m AS (SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.keeper
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op10_exact_top_k": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
+    "op9_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v WHERE list_dot_product(v, v) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op5_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS src, coalesce(text, '') AS t,
