@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, quality, secrets, sentencepieces, simhash, token_files, topk_search
+from . import embedding_dedup, line_dedup, lm_scoring, mixing, quality, secret_scan, sentencepieces, simhash, token_files, topk_search
 from .common import whole_text
 
 
@@ -23,7 +23,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan_secrets(docs).select("doc_id", "secrets")
+    found = secret_scan.scan_secrets(docs).select("doc_id", "secrets")
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -56,6 +56,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = sentencepieces.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
@@ -72,7 +77,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op4_sentencepiece_sampling, op5_mix_sources, op6_quality_classifier, op7_simhash_near_dedup, op8_token_files, op9_embedding_near_dedup, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_lm_scoring, op4_sentencepiece_sampling, op5_mix_sources, op6_quality_classifier, op7_simhash_near_dedup, op8_token_files, op9_embedding_near_dedup, op10_exact_top_k)}
 
 
 ORACLE = {

@@ -74,6 +74,10 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has), `end` after every text."""
+        return self.encode_words([t.split() for t in texts], end)[:2]
+
+    def encode_words(self, texts: list[list[bytes]], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode() of texts cut into words; and the number of each word, `end` included, in self."""
         if len(self) > KEPT_WORDS:
             self.clear()
             self.pieces.clear()
@@ -81,12 +85,11 @@ class WordEncoder(dict):
         get, close = self.__getitem__, b"\n" if end is not None else None
         at: list[int] = []
         count = []
-        for t in texts:
-            words = t.split()
-            if close:
-                words.append(close)  # no word holds a blank, so this stands for the end
+        for words in texts:
             at += map(get, words)
-            count.append(len(words))
+            if close:
+                at.append(get(close))  # no word holds a blank, so this stands for the end
+            count.append(len(words) + (end is not None))
         if self.new:
             if close in self.new:
                 self.pieces[close] = [end]
@@ -97,7 +100,7 @@ class WordEncoder(dict):
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
-        return ids, np.diff(cuts)
+        return ids, np.diff(cuts), index
 
 
 _encoders: dict[str, WordEncoder] = {}
