@@ -65,7 +65,7 @@ def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = sentencepieces.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
     each = got.select("doc_id", F.posexplode("segmentations").alias("nth", "s"))
-    return each.select("doc_id", (F.col("nth") + 1).alias("nth"), *[F.col("s")[c].alias(c) for c in ("n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip")])
+    return each.select("doc_id", (F.col("nth") + 1).alias("nth"), *[F.col("s")[c].alias(c) for c in ("n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip")])
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
