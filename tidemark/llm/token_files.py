@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,17 +23,58 @@ SHARD_IDS = 4_000_000
 #: Words that a worker keeps encoded; beyond them it starts anew.
 KEPT_WORDS = 1_000_000
 
-_PIECE = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(rb"[\x21-\x26\x28-\x3B\x3D-\x7E]+")  # ASCII but for blanks, ' and <
+#: The tokenizer's own rule for the pieces of a word, after lower-casing.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Pieces asked for in one text.
+_TOGETHER = 1000
 
 
-class WordEncoder(dict):
+class Numbers(dict):
+    """Keys numbered in the order of their first use; `new` holds those not yet learnt."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        at = self[key] = len(self)
+        self.new.append(key)
+        return at
+
+
+class Ragged:
+    """Rows of different lengths, one after another in one array that grows."""
+
+    def __init__(self) -> None:
+        self.flat, self.first, self.rows = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        used, rows = int(self.first[self.rows]), self.rows + len(sizes)
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + len(flat), np.uint32)])
+        if rows >= len(self.first):
+            self.first = np.concatenate([self.first[: self.rows + 1], np.zeros(rows + 1, np.int64)])
+        self.flat[used : used + len(flat)] = flat
+        self.first[self.rows + 1 : rows + 1] = used + np.cumsum(sizes)
+        self.rows = rows
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows one after another, their lengths)."""
+        start = self.first[index]
+        size = self.first[index + 1] - start
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(start - upto + size, size) + np.arange(total)], size
+
+
+class WordEncoder(Numbers):
     """Ids of whole texts by way of their words.
 
     The tokenizer drops white space and no rule of it spans any, so a text's
-    ids are those of its words one after another. Words are encoded once per
-    worker; those of plain ASCII are cut further at the borders of its own
-    letter, digit and sign rule, where pieces repeat far more than words.
+    ids are those of its words one after another, and a word's those of its
+    pieces by the tokenizer's rule. Words and pieces are encoded once per
+    worker; pieces repeat far more than words, and many go in one text, cut
+    again where a token ends a piece.
     """
 
     def __init__(self, path: str):
@@ -41,64 +83,72 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: list[bytes] = []
-        self.pieces: dict[bytes, list[int]] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.first = np.zeros(1 << 14, dtype=np.int64)
-        self.used = self.known = 0
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.new.append(word)
-        return at
-
-    def _learn(self) -> None:
-        plain = {w: _PIECE.findall(w.lower()) if _PLAIN.fullmatch(w) else [] for w in self.new}
-        ask = list({p for ps in plain.values() for p in ps if p not in self.pieces} | {w for w, ps in plain.items() if not ps and w not in self.pieces})
-        for word, got in zip(ask, self.tokenizer.encode_batch([w.decode() for w in ask], add_special_tokens=False)):
-            self.pieces[word] = got.ids
-        ids: list[int] = []
-        ends = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new = []
+        self.pieces, self.piece_ids, self.word_ids = Numbers(), Ragged(), Ragged()
+
+    def _learn(self, end: int | None) -> None:
+        order: list[int] = []
+        count = []
+        get = self.pieces.__getitem__
         for w in self.new:
-            for p in plain[w] or (w,):
-                ids += self.pieces[p]
-            ends.append(len(ids))
-        need = self.used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(need, np.uint32)])
-        if len(self) + 1 > len(self.first):
-            self.first = np.concatenate([self.first[: self.known + 1], np.zeros(2 * len(self), np.int64)])
-        self.flat[self.used : need] = ids
-        self.first[self.known + 1 : len(self) + 1] = np.array(ends) + self.used
-        self.used, self.known, self.new = need, len(self), []
+            word = (w if b"<|" in w else w.lower()).decode()
+            # Marks that compose, a dotted capital I and special tokens can change a word across its pieces.
+            plain = w.isascii() or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
+            found = _PIECE.findall(word) if plain and "<|" not in word else [(word,)]
+            order += map(get, found or [(word,)])
+            count.append(max(1, len(found)))
+        self._learn_pieces(end)
+        ids, sizes = self.piece_ids.take(np.array(order, np.int64))
+        count = np.array(count, np.int64)
+        self.word_ids.extend(ids, np.add.reduceat(sizes, np.cumsum(count) - count))
+        self.new = []
+
+    def _learn_pieces(self, end: int | None) -> None:
+        new, got = self.pieces.new, {}
+        for lo in range(0, len(new), _TOGETHER):
+            some = [i for i in range(lo, min(len(new), lo + _TOGETHER)) if isinstance(new[i], str)]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([new[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+            if len(ends) == len(some):
+                got |= dict(zip(some, np.split(ids, ends[:-1])))
+        alone = [i for i in range(len(new)) if i not in got]
+        texts = [new[i] if isinstance(new[i], str) else new[i][0] for i in alone]
+        for i, t, x in zip(alone, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            got[i] = np.array([end] if t == "\n" else x.ids, np.uint32)
+        if new:
+            rows = [got[i] for i in range(len(new))]
+            self.piece_ids.extend(np.concatenate(rows), np.array([len(r) for r in rows]))
+        self.pieces.new = []
 
     def encode(self, texts: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has), `end` after every text."""
-        return self.encode_words([t.split() for t in texts], end)[:2]
+        # A-Z count as a-z but in special tokens.
+        return self.encode_words([t.split() if b"<|" in t else t.lower().split() for t in texts], end)[:2]
 
     def encode_words(self, texts: list[list[bytes]], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """encode() of texts cut into words; and the number of each word, `end` included, in self."""
         if len(self) > KEPT_WORDS:
-            self.clear()
-            self.pieces.clear()
-            self.used = self.known = 0
-        get, close = self.__getitem__, b"\n" if end is not None else None
+            self.forget()
+        get, close = self.__getitem__, b"\n"  # no word holds a blank, so a line feed stands for the end
         at: list[int] = []
         count = []
         for words in texts:
             at += map(get, words)
-            if close:
-                at.append(get(close))  # no word holds a blank, so this stands for the end
+            if end is not None:
+                at.append(get(close))
             count.append(len(words) + (end is not None))
         if self.new:
-            if close in self.new:
-                self.pieces[close] = [end]
-            self._learn()
+            self._learn(end)
         index = np.array(at, dtype=np.int64)
-        start = self.first[index]
-        size = self.first[index + 1] - start
+        ids, size = self.word_ids.take(index)
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
         return ids, np.diff(cuts), index
 
@@ -157,19 +207,20 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema("part int, nth int, doc_ids array<long>, counts array<long>, n long, matrix binary").parquet(folder)
     # One short row per shard of about SHARD_IDS ids.
     offsets = shards.select("part", "nth", "n").withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "nth", "base")
-    one = shards.select("part", "nth", "doc_ids", "counts", "matrix").join(offsets, ["part", "nth"]).select("doc_ids", "counts", "matrix", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids = WaveletMatrix.loads(b.column(2)[i].as_py()).decode().astype("<u4")
-                counts = np.asarray(b.column(1)[i].values, dtype=np.int64)
+                ids = WaveletMatrix.loads(b.column(4)[i].as_py()).decode().astype("<u4")
+                counts = np.asarray(b.column(3)[i].values, dtype=np.int64)
                 ends = np.cumsum(counts)
-                raw = ids.tobytes()
+                raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(ends - counts + b.column(3)[i].as_py()), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                same = lambda c, kind: pa.array(np.full(len(ends), b.column(c)[i].as_py()), kind)
+                yield pa.RecordBatch.from_arrays([same(0, pa.int32()), same(1, pa.int32()), b.column(2)[i].values, pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "nth", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    return map_arrow(one, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = map_arrow(shards.select("part", "nth", "doc_ids", "counts", "matrix"), run, "part int, nth int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return read.join(offsets, ["part", "nth"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def count_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
