@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tables
+from . import aggregates, relational, retrieval, texts
 
-MODULES = (tables,)
-FLAGSHIP = "doc_sources"
+MODULES = (relational, aggregates, texts, retrieval)
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql.strip() for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
