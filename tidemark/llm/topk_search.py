@@ -12,7 +12,7 @@ from .common import cut
 
 K = 20
 SCALE = 64
-PIVOTS = 24
+PIVOTS = 16
 #: Documented bound of the sample that the pivots are chosen from; any pivots give exact results.
 PIVOT_SAMPLE = 4096
 #: Rows of a part, held by one task; queries pass through it in a stream.
@@ -23,6 +23,8 @@ QUERY_ROWS = 8192
 STEP = 512
 #: Components beyond this would lose exactness in a sum of doubles.
 LARGEST = 1 << 20
+#: Squared lengths below which single precision is exact.
+EXACT = 1 << 22
 
 
 def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
@@ -42,6 +44,10 @@ class PivotPart:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.pivots = ids[order], x[order], pivots
         self.norm = (self.x**2).sum(1)
+        # Whole numbers whose sums stay below 2^24 are exact in single precision.
+        if float(self.norm.max(initial=0.0)) < EXACT:
+            self.x = self.x.astype(np.float32)
+        self.two = np.zeros((2, len(ids)), np.float32)
         self.table = distances(self.x, pivots).T.astype(np.float32)  # one row per pivot
         # A float holds 24 bits; the bounds allow for that.
         self.slack = float(np.abs(self.table).max(initial=0.0)) * 2.0**-22 + 1e-6
@@ -55,11 +61,16 @@ class PivotPart:
         falling bound until the k-th score passes the next bound.
         """
         to_pivot = distances(q[None], self.pivots)[0].astype(np.float32)
-        low = np.zeros(len(self.ids), np.float32)
+        low, one = self.two
+        low.fill(0.0)
         for p in range(len(self.pivots)):
-            np.maximum(low, np.abs(self.table[p] - to_pivot[p]), out=low)
-        low = np.maximum(low.astype(np.float64) - self.slack, 0.0)
-        bound = (float(q @ q) + self.norm - low * low) / 2
+            np.subtract(self.table[p], to_pivot[p], out=one)
+            np.abs(one, out=one)
+            np.maximum(low, one, out=low)
+        far = np.maximum(low.astype(np.float64) - self.slack, 0.0)
+        length = float(q @ q)
+        small = length < EXACT
+        bound = (length + self.norm - far * far) / 2
         bound[self.ids == query_id] = -np.inf
         left, done = np.flatnonzero(bound >= least), 0
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
@@ -71,14 +82,16 @@ class PivotPart:
             else:
                 now, left = left, left[:0]
             now = now[bound[now] > -np.inf]
-            got = self.x[now] @ q
+            rows = self.x[now] if len(now) < len(self.x) // 2 else self.x
+            got = rows @ q.astype(rows.dtype if small else np.float64)
+            got = (got if len(got) == len(now) else got[now]).astype(np.float64)
             done += len(now)
             ids, scores = np.concatenate([ids, self.ids[now]]), np.concatenate([scores, got])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
                 left = left[bound[left] >= scores[-1]]  # an equal score with a smaller id may still come
-            step *= 2
+            step *= 8
         return ids, scores, done
 
 
