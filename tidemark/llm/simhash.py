@@ -125,9 +125,17 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one whose doc_id is the component's smallest (of rows that repeat it, one)."""
-    names = docs.columns
-    marked = near_duplicates(pack(docs, [F.col("doc_id"), F.col("text")]))
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = stay.withColumn("nth", F.row_number().over(Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy(F.xxhash64("text"))))
-    return one.where("nth = 1").select(*[F.col("row")[c].alias(c) for c in names])
+    """One document of each group stays: the one whose doc_id is the component's smallest (of rows that repeat it, one).
+
+    Components are found on (doc_id, hash of the text) alone; whole rows are
+    shuffled once, to meet the keys that stay.
+    """
+    names, th = docs.columns, F.xxhash64(F.coalesce("text", F.lit("")))
+    slim = docs.select("doc_id", "text", th.alias("th"))
+    marked = near_duplicates(slim, carry=["doc_id", "th"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    first = marked.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("stay_th")).select(F.coalesce("component_id", F.lit(0)).alias("stay_id"), F.col("component_id").isNull().alias("stay_null"), "stay_th")
+    keyed = pack(docs, [F.coalesce("doc_id", F.lit(0)).alias("stay_id"), F.col("doc_id").isNull().alias("stay_null"), th.alias("stay_th")])
+    keys = ["stay_id", "stay_null", "stay_th"]
+    one = keyed.join(first.distinct(), keys, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("stay_th"))).where("nth = 1")
+    return one.select(*[F.col("row")[c].alias(c) for c in names])
