@@ -331,7 +331,9 @@ def test_segmentations_awkward(spark):
     assert sentencepieces.sample_pieces(docs(spark, []), path).count() == 0
 
 
-def test_lm_base_and_held_out(spark):
+@pytest.mark.parametrize("head", [150_000, 300, 0])
+def test_lm_base_and_held_out(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", head)
     d = "/root/testdata/sf0.001"
     got = queries()["op3_lm_scoring"](spark, d).toPandas().set_index("doc_id")
     raw = pd.read_parquet(f"{d}/documents.parquet").set_index("doc_id").text
