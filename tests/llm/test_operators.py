@@ -392,6 +392,26 @@ def test_lm_gradient_matches_differences():
         assert math.isclose((loss(up) - loss(down)) / 2e-4, g[name][at], rel_tol=2e-2, abs_tol=1e-6), name
 
 
+def test_lm_learns_from_every_word(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{x}" for x in rng.integers(0, 5000, 20_000)) for i in range(60)} | {60: "", 61: None}
+    seen = []
+
+    def record(parts):
+        seen.append((lm_scoring.id_counts(parts), parts.toPandas()))
+        raise StopIteration
+
+    monkeypatch.setattr(lm_scoring, "fit", record)
+    with pytest.raises(StopIteration):
+        lm_scoring.score_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path)
+    ids, _ = token_files.WordEncoder(path).encode([(t or "").encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10])
+    counts, parts = seen[0]
+    assert np.array_equal(counts, np.bincount(ids))
+    assert sum(np.frombuffer(x, "<i4").sum() for x in parts["counts"]) == len(ids)
+    assert sum(np.frombuffer(x, bool).sum() for x in parts["begins"]) == sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in texts)
+
+
 def test_lm_awkward(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = lm_scoring.score_texts(docs(spark), path).toPandas()
