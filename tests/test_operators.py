@@ -99,6 +99,24 @@ def test_lexical_rank(spark):
     assert got[1].lexical == pytest.approx(arrow.similarity_within(set(arrow.trigrams("quarterly revenue")), arrow.trigrams("acme revenues quarterly")))
 
 
+def test_lexical_rank_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = ["anbleer", "thlynd", "hethes", "st", "of", "he", "for", "ly", "semiconductors", "삼성전자는", "금리가", "ab", "Revenue"]
+    texts = [" ".join(rng.choice(words, 8)) for _ in range(60)] + ["anblear thlind hetes st of he for ly", "삼성전자는 금리가 ab", "", None]
+    asked = ["anbleer thlynd hethes st of he for ly", "semiconductor", "삼성전자", "금리", "ab", "of he", "REVENUE st", "emicon", "!", "st of", "zzz qqq", "", None]
+    got = search.lexical_rank(spark.createDataFrame(list(enumerate(asked)), "query_id int, query_text string"), spark.createDataFrame(list(enumerate(texts)), "chunk_id int, search_text string"), k=1000, threshold=0.5).collect()
+    want = {}
+    for i, q in enumerate(asked):
+        for j, t in enumerate(texts):
+            if q and t is not None:
+                grams, body = set(arrow.trigrams(q)), arrow.trigrams(t)
+                score = max((len(grams & set(body[a:b])) / len(grams | set(body[a:b])) for a in range(len(body)) for b in range(a + 1, len(body) + 1)), default=0.0) if grams else 0.0
+                if q.lower() in t.lower() or score >= 0.5:
+                    want[i, j] = (q.lower() in t.lower(), pytest.approx(score))
+    assert {(r.query_id, r.chunk_id): (r.exact, r.lexical) for r in got} == want
+    assert {i for i, _ in want} >= {0, 1, 2, 3, 4, 5, 6, 7}
+
+
 def test_terms(spark):
     terms = spark.createDataFrame([(1, "Base Rate", ["policy rate"]), (2, "Rate", []), (3, "Swap", ["IRS"])], "term_id int, term string, aliases array<string>")
     c = spark.createDataFrame([(1, "base rate", 0), (1, "rate", 1), (2, "irs", 0), (3, "base", 0), (4, "zzz", 0)], "query_id int, candidate string, nth int")
