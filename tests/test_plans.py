@@ -40,6 +40,23 @@ def test_query_without_sql_runs(spark, sf, name):
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
 
 
+def test_whole_questions(spark, tmp_path):
+    start = "the quarterly revenue of the chip maker rose"  # 44 signs
+    texts = [start + " by a third in spring", start + " while nobody at all was looking at it", "semiconductorsandotherverylongthingswithoutblanks", "quiet"]
+    pd.DataFrame({"doc_id": range(4), "source": "s", "text": texts}).to_parquet(f"{tmp_path}/documents.parquet")
+    pd.DataFrame({"item_id": [0, 1], "text": [texts[0], "semiconductors"]}).to_parquet(f"{tmp_path}/benchmark.parquet")
+    pd.DataFrame({"vec_id": range(40), "label": 0, "embedding": [[float(i == j) for j in range(40)] for i in range(40)]}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    lexical = registry.queries()["lexical_search"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.chunk_id) for r in lexical if r.exact} == {(0, 0), (1, 200_000)}
+    whole = registry.queries()["search_with_context"](spark, str(tmp_path)).collect()
+    assert [r.chunk_id for r in sorted(whole, key=lambda r: r["rank"]) if r.query_id == 0][0] == 0
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    got, want = registry.queries()["hybrid_search"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["hybrid_search"]).df()
+    pd.testing.assert_frame_equal(plain(got), plain(want))
+
+
 def test_entry_lists_everything():
     import __spark_entry__ as entry
 

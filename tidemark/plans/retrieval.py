@@ -41,14 +41,9 @@ lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _exact(q, chunks):
-    """Chunks that hold the start of a question: they meet on its first long words, then the text decides."""
-    asked = q.select("query_id", F.substring("query_text", 1, 40).alias("needle"))
-    words = F.array_distinct(F.filter(F.split("needle", r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 3))
-    whole = F.slice(words, 2, 1)  # the first and the last word of the needle may be cut within a longer one
-    keyed = asked.withColumn("word", F.get(F.array_sort(whole), F.lit(0)))
-    by_word = chunks.select("chunk_id", "search_text", F.explode(F.array_distinct(F.filter(F.split("search_text", r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 3))).alias("word"))
-    hits = by_word.join(keyed, "word").where(F.col("search_text").contains(F.col("needle"))).select("query_id", "chunk_id").distinct()
-    return search.top_ranked(hits, "query_id", [F.col("chunk_id")], search.CANDIDATES)
+    """Chunks that hold the first 40 signs of a question, as the SQL has it."""
+    asked = q.select("query_id", F.substring("query_text", 1, 40).alias("query_text"))
+    return search.exact_rank(asked, chunks.select("chunk_id", "search_text"))
 
 
 @QUERIES.add(_CORPUS + """
@@ -73,14 +68,14 @@ def semantic_search(spark, d):
 def lexical_search(spark, d):
     """Chunks by exact substring, then trigram similarity (WIN-2, 9, SCAL-75)."""
     q, chunks = corpus(spark, d)
-    return search.lexical_rank(q.select("query_id", F.substring("query_text", 1, 40).alias("query_text")), chunks.select("chunk_id", "search_text"), threshold=0.5)
+    return search.lexical_rank(q.select("query_id", "query_text"), chunks.select("chunk_id", "search_text"), threshold=0.5)
 
 
 @QUERIES.add(None)
 def search_with_context(spark, d):
     """Fused hits limited per document, with their neighbours (WIN-10, 11, JOIN-14)."""
     q, chunks = corpus(spark, d)
-    fused = search.fuse(search.semantic_rank(q, chunks), _exact(q, chunks))
+    fused = search.fuse(search.semantic_rank(q, chunks), search.lexical_rank(q.select("query_id", "query_text"), chunks.select("chunk_id", "search_text")))
     named = fused.join(chunks.select("chunk_id", F.col("doc_id").alias("document_id"), F.col("source").alias("source_pk"), "chunk_order", F.col("search_text").alias("content")), "chunk_id").withColumn("content_hash", F.sha2("content", 256))
     kept = search.limit_per_source(named.select("query_id", "chunk_id", "document_id", "source_pk", "chunk_order", "content", "content_hash", "rank"))
     first = search.current_first(kept, F.lit("src0"), 8)
