@@ -57,6 +57,23 @@ def test_whole_questions(spark, tmp_path):
     pd.testing.assert_frame_equal(plain(got), plain(want))
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_files_and_folders(spark, sf, tmp_path, folder):
+    for t in ("events", "embeddings"):
+        df = pd.read_parquet(f"{sf}/{t}.parquet")
+        if folder:
+            spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+        else:
+            df.to_parquet(f"{tmp_path}/{t}.parquet")
+            df.to_parquet(f"{tmp_path}/{t}_x.parquet")  # another table
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet{'/*.parquet' if folder else ''}')")
+    for name in ("stream_tumbling", "stream_merge"):
+        pd.testing.assert_frame_equal(plain(registry.queries()[name](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.oracle_sql()[name]).df()))
+    got = registry.queries()["stream_clusters"](spark, str(tmp_path))
+    assert got.count() == got.select("article_id").distinct().count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
 def test_entry_lists_everything():
     import __spark_entry__ as entry
 

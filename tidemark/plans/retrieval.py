@@ -243,12 +243,20 @@ def _scratch(spark) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _stream(spark, d, name):
+    """A table as a stream: all part files where it is a folder, else the one file of that very name."""
+    path = f"{d}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    rows = spark.readStream.schema(table(spark, d, name).schema)
+    return rows.parquet(path) if folder else rows.option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
+
+
 @QUERIES.add("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     """Half-hour counts of a stream of the events (ST-12, 13)."""
     at, name = _scratch(spark), "t" + uuid.uuid4().hex
-    schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{d}/").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.run_once(jobs.tumbling_counts(rows), f"{at}/c", name=name, mode="complete")
     return spark.table(name).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n")
 
@@ -258,8 +266,7 @@ SELECT user_id, arg_max(event_id, struct_pack(t := ts, i := event_id)) AS event_
 def stream_merge(spark, d):
     """The newest row of each key, merged batch by batch into a published table (ST-14, SNK-1)."""
     at = _scratch(spark)
-    schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{d}/").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("arrival"))
+    rows = _stream(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("arrival"))
     jobs.run_once(rows, f"{at}/c", batch=jobs.merge_batches(f"{at}/t", ["user_id"], "arrival"))
     return merge.current(spark, f"{at}/t").select("user_id", "event_id", "event_type")
 
@@ -268,7 +275,6 @@ def stream_merge(spark, d):
 def stream_clusters(spark, d):
     """Online clusters of a stream of vectors, the open ones held as state (ST-1, 17, 18)."""
     at, name = _scratch(spark), "c" + uuid.uuid4().hex
-    schema = table(spark, d, "embeddings").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings*.parquet").parquet(f"{d}/").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * 0.05).alias("t_hours"), vectors.unit("embedding").alias("vec"))
+    rows = _stream(spark, d, "embeddings").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * 0.05).alias("t_hours"), vectors.unit("embedding").alias("vec"))
     jobs.run_once(jobs.cluster_stream(rows, cluster.Rules(threshold=0.25)), f"{at}/c", name=name)
     return spark.table(name).select("stock_code", "article_id", "cluster_id", "is_new")
