@@ -277,6 +277,17 @@ def test_cluster_stream_is_the_batch(spark, tmp_path):
     assert {r.article_id: r.cluster_id for r in spark.table("cluster_rows").collect()} == want
 
 
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_run_once_leaves_rows_in_files(spark, tmp_path, mode):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    s = s if mode == "append" else s.groupBy((F.col("id") % 2).alias("id")).count()
+    jobs.run_once(s, f"{tmp_path}/c", name="in_files", mode=mode)
+    assert rows(spark.table("in_files")) == ([(i,) for i in range(30)] if mode == "append" else [(0, 15), (1, 15)])
+    assert len(spark.table("in_files").inputFiles()) > 0
+
+
 def test_retry_stream(spark, tmp_path):
     spark.createDataFrame([("a", False), ("b", True), ("a", False)], "key string, ok boolean").write.parquet(f"{tmp_path}/in/0")
     s = spark.readStream.schema("key string, ok boolean").parquet(f"{tmp_path}/in/*")

@@ -14,6 +14,8 @@ from ..streaming import jobs
 from .common import Plans, table
 
 QUERIES = Plans()
+#: Files that one micro-batch of a stream reads.
+FILES_PER_BATCH = 8
 
 
 def corpus(spark, d):
@@ -244,11 +246,11 @@ def _scratch(spark) -> str:
 
 
 def _stream(spark, d, name):
-    """A table as a stream: all part files where it is a folder, else the one file of that very name."""
+    """A table as a stream, FILES_PER_BATCH at a time: all part files where it is a folder, else the one file of that very name."""
     path = f"{d}/{name}.parquet"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    rows = spark.readStream.schema(table(spark, d, name).schema)
+    rows = spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
     return rows.parquet(path) if folder else rows.option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
 
 

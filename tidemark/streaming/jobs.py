@@ -130,8 +130,20 @@ def retry_stream(attempts: DataFrame, most: int = 3, wait_ms: int = 600_000) ->
 
 
 def run_once(stream: DataFrame, checkpoint: str, batch=None, name: str | None = None, mode: str = "append"):
-    """Run a stream over what is there and stop: into a function per batch, or a table in memory."""
-    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
-    q = (w.foreachBatch(batch) if batch else w.format("memory").queryName(name)).start()
+    """Run a stream over what is there and stop: into a function per batch, or a view `name` of Parquet files beside the checkpoint.
+
+    Each batch has a folder of its own that a repeated batch writes anew; in
+    complete mode a batch is the table and all have one. No row reaches the driver.
+    """
+    rows = f"{checkpoint}-rows"
+
+    def put(frame: DataFrame, batch_id: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else batch_id}")
+
+    if not batch:
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/{'all' if mode == 'complete' else 0}")
+    q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).foreachBatch(batch or put).start()
     q.awaitTermination()
+    if not batch:
+        stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(rows).createOrReplaceTempView(name)
     return q
