@@ -84,11 +84,11 @@ def unpack(df: DataFrame, names: list[str], added: dict[str, Column]) -> DataFra
     return df.select(*[F.col("row")[c].alias(c) for c in names if c.lower() not in new], *[v.alias(k) for k, v in added.items()])
 
 
-def with_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], added: list[tuple[str, str]], inputs: list[str]) -> DataFrame:
+def with_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], added: list[tuple[str, str]], inputs: list[str | Column]) -> DataFrame:
     """df with the columns that fn computes from Arrow batches of `inputs`.
 
-    All columns of df pass through; an added column replaces one of the same
-    name. fn gets an iterator of record batches and yields, for each, the
+    All columns of df pass through, whatever their names; an added column
+    replaces one of the same name. fn gets an iterator of record batches and yields, for each, the
     list of added Arrow arrays.
     """
     small_batches(df.sparkSession)
@@ -96,7 +96,9 @@ def with_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     kept = [f for f in df.schema.fields if f.name.lower() not in new]
     kept_names = [f.name for f in kept]
     # Inputs travel as columns of their own, so that a replaced column can be an input too.
-    sent = df.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(inputs)], F.struct(*[F.col(f"`{c}`") for c in kept_names], F.lit(1).alias("_one")).alias("row"))
+    # The row's fields are renamed by number: no name in df can clash with the one that keeps the struct from being empty.
+    fields = [F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(kept_names)]
+    sent = df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"in{i}") for i, c in enumerate(inputs)], F.struct(*fields, F.lit(1).alias("one")).alias("row"))
     schema = T.StructType([T.StructField("row", sent.schema["row"].dataType), T.StructField("add", T._parse_datatype_string(", ".join(f"c{i} {t}" for i, (_, t) in enumerate(added))))])
     n_in = len(inputs)
 
@@ -112,7 +114,7 @@ def with_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
             yield pa.RecordBatch.from_arrays([waiting.pop(0), pa.StructArray.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])], names=["row", "add"])
 
     out = map_arrow(sent, run, schema)
-    return out.select(*[F.col("row")[c].alias(c) for c in kept_names], *[F.col("add")[f"c{i}"].alias(n) for i, (n, _) in enumerate(added)])
+    return out.select(*[F.col("row")[f"r{i}"].alias(c) for i, c in enumerate(kept_names)], *[F.col("add")[f"c{i}"].alias(n) for i, (n, _) in enumerate(added)])
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
