@@ -31,7 +31,7 @@ def value(spark):
     ("https://e.com/x/?q", "https://e.com/x?q="),
 ])
 def test_canonical_url(value, url, want):
-    assert value(text.canonical_url("u"), u=url) == want == arrow._canonical(url)
+    assert value(text.canonical_url("u"), u=url) == want == value(arrow.canonicalize_url("u"), u=url)
 
 
 def test_hosts(value):

@@ -6,16 +6,18 @@ import html
 import json
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from itertools import accumulate
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import fixed_values as V
-from .text import normal_lines
+from .text import canonical_url, normal_lines
 from .vectors import as_column
 
 
@@ -31,7 +33,7 @@ def _strings(fn, returns=T.StringType()):  # noqa: B008
 
 # Unicode (SCAL-7, 10) -----------------------------------------------------------------------------
 
-nfkc = _strings(lambda t: unicodedata.normalize("NFKC", t))
+nfkc = _strings(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
 fold_case = _strings(lambda t: unicodedata.normalize("NFKC", t).casefold())
 
 
@@ -43,18 +45,18 @@ def normalize_content(c) -> Column:
 # URLs (SCAL-1, 31..33) ----------------------------------------------------------------------------
 
 
-def _canonical(url: str) -> str:
-    try:
-        u = urlsplit(url.strip())
-    except ValueError:
-        return url.strip()
-    at = u.netloc.lower().removeprefix("www.")
-    path = re.sub("/{2,}", "/", u.path or "/")
-    kept = sorted(p for p in parse_qsl(u.query, keep_blank_values=True) if p[0].lower() not in V.TRACKING)
-    return urlunsplit(((u.scheme or "https").lower(), at, path if path == "/" else path.rstrip("/"), urlencode(kept), ""))
+def form_encoded(c: Column) -> Column:
+    """A part of a query string, decoded where it can be and encoded again in the form style (blanks as plus signs)."""
+    again = F.url_encode(F.coalesce(F.try_url_decode(c), c))
+    return F.replace(F.replace(again, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-canonicalize_url = _strings(_canonical)
+def canonicalize_url(url) -> Column:
+    """canonical_url with every parameter in one percent-encoding, so that spellings of one address agree. Native."""
+    plain = canonical_url(url)
+    params = F.split(F.regexp_extract(plain, r"\?(.*)$", 1), "&")
+    again = F.transform(params, lambda p: F.concat(form_encoded(F.substring_index(p, "=", 1)), F.lit("="), form_encoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1))))
+    return F.when(plain.contains("?"), F.concat(F.substring_index(plain, "?", 1), F.lit("?"), F.array_join(again, "&"))).otherwise(plain)
 
 
 def absolute_url(base, link) -> Column:
@@ -155,31 +157,45 @@ script_body = _strings(_script_body)
 WHOLE, SHORT, LONG, OVERLAP, MOST = 1200, 500, 900, 100, 3
 
 
-def split_long(text: str) -> list[str]:
-    """One piece up to WHOLE signs; else paragraphs gathered up to LONG, with the end of a piece again before the next.
+def chunk_spans(ends: list[int], text: str) -> Iterator[tuple[int, int]]:
+    """Slices of a text whose paragraphs end at `ends` (two line feeds between them).
 
-    A first paragraph that is too long is cut at a fixed step. A short piece
-    joins the one before it where both fit; the first MOST pieces stay.
+    A slice takes the paragraphs that end within LONG of its start, found by
+    bisection; the next begins OVERLAP before its end. A paragraph beyond LONG
+    that begins a slice is dealt out at a fixed step instead.
     """
+    nth, start = 0, 0
+    while nth < len(ends):
+        begins = ends[nth - 1] + 2 if nth else 0
+        if start >= begins and ends[nth] - begins > LONG:
+            yield from ((at, min(at + LONG, ends[nth])) for at in range(begins, ends[nth], LONG - OVERLAP))
+            nth, start = nth + 1, ends[nth] + 2
+            continue
+        last = max(nth, bisect_right(ends, start + LONG) - 1)
+        yield start, ends[last]
+        tail = text[max(start, ends[last] - OVERLAP) : ends[last]]
+        nth, start = last + 1, ends[last] - len(tail.lstrip())
+
+
+def split_long(text: str) -> list[str]:
+    """One piece up to WHOLE signs; else the slices of chunk_spans, short ones joined to what is before where both fit; the first MOST stay."""
     if len(text) <= WHOLE:
         return [text] if text else []
-    pieces, held = [], ""
-    for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
-        grown = f"{held}\n\n{paragraph}" if held else paragraph
-        if len(grown) <= LONG:
-            held = grown
-        elif held:
-            pieces.append(held)
-            held = f"{held[-OVERLAP:]}\n\n{paragraph}".strip()
-        else:
-            pieces += [paragraph[i : i + LONG] for i in range(0, len(paragraph), LONG - OVERLAP)]
-    joined: list[str] = []
-    for p in pieces + [held] * bool(held):
-        if joined and len(p) < SHORT and len(joined[-1]) + len(p) <= WHOLE:
-            joined[-1] += "\n\n" + p
+    paragraphs = [p for p in map(str.strip, text.split("\n\n")) if p]
+    joined = "\n\n".join(paragraphs)
+    ends = [size - 2 for size in accumulate(len(p) + 2 for p in paragraphs)]
+    groups: list[list[tuple[int, int]]] = []
+    filled = WHOLE  # signs in the last group, its inner line feeds included
+    for lo, hi in chunk_spans(ends, joined):
+        if hi - lo < SHORT and filled + hi - lo <= WHOLE and groups:
+            groups[-1].append((lo, hi))
+            filled += hi - lo + 2
+        elif len(groups) == MOST:
+            break
         else:
-            joined.append(p)
-    return joined[:MOST]
+            groups.append([(lo, hi)])
+            filled = hi - lo
+    return ["\n\n".join(joined[lo:hi] for lo, hi in g) for g in groups]
 
 
 chunks = _strings(split_long, T.ArrayType(T.StringType()))

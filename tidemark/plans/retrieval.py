@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models, text, vectors
 from ..operators import cluster, merge, metrics, search, state, timeseries
+from ..shared import fresh_path, written
 from ..streaming import jobs
 from .common import Plans, table
 
@@ -29,7 +29,7 @@ def corpus(spark, d):
     c = table(spark, d, "documents").select("doc_id", "source", F.posexplode(text.fixed_chunks(F.lower("text"))).alias("chunk_order", "search_text"))
     chunks = c.join(n, F.lit(True)).withColumn("vec_id", F.pmod(F.col("doc_id") * 7 + F.col("chunk_order"), "n_vectors")).join(e, "vec_id").select((F.col("doc_id") * 100_000 + F.col("chunk_order")).alias("chunk_id"), "doc_id", "source", "chunk_order", "search_text", "embedding")
     q = table(spark, d, "benchmark").join(n, F.lit(True)).withColumn("vec_id", F.pmod(F.col("item_id") * 3, "n_vectors")).join(e, "vec_id").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query_text"), "embedding")
-    return q, chunks
+    return q, written(chunks, "chunks")  # cut once; every branch reads its own columns
 
 
 _CORPUS = """
@@ -38,16 +38,10 @@ c AS (SELECT doc_id, source, unnest(range(CAST(ceil(length(text) / 1000.0) AS BI
 ch AS (SELECT doc_id * 100000 + chunk_order AS chunk_id, doc_id, source, chunk_order, substr(t, chunk_order * 1000 + 1, 1000) AS search_text, embedding::DOUBLE[] AS v FROM c, k JOIN embeddings ON vec_id = (doc_id * 7 + chunk_order) % n_vectors),
 q AS (SELECT item_id AS query_id, lower(text) AS query_text, embedding::DOUBLE[] AS v FROM benchmark, k JOIN embeddings ON vec_id = (item_id * 3) % n_vectors),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.v, ch.v) AS similarity FROM q, ch) QUALIFY rank <= 24),
-lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM q, ch WHERE contains(search_text, substr(query_text, 1, 40)) QUALIFY rank <= 24)
+lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM q, ch WHERE contains(search_text, query_text) QUALIFY rank <= 24)
 """
 
 
-def _exact(q, chunks):
-    """Chunks that hold the first 40 signs of a question, as the SQL has it."""
-    asked = q.select("query_id", F.substring("query_text", 1, 40).alias("query_text"))
-    return search.exact_rank(asked, chunks.select("chunk_id", "search_text"))
-
-
 @QUERIES.add(_CORPUS + """
 SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.chunk_id, l.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (50 + s.rank), 0) + coalesce(1.0::DOUBLE / (50 + l.rank), 0), 9) AS rrf_score
 FROM sem s FULL OUTER JOIN lex l ON s.query_id = l.query_id AND s.chunk_id = l.chunk_id
@@ -55,7 +49,7 @@ QUALIFY row_number() OVER (PARTITION BY coalesce(s.query_id, l.query_id) ORDER B
 def hybrid_search(spark, d):
     """The eight best chunks for every question by fused ranks (WIN-1..4, 8, JOIN-6, 7)."""
     q, chunks = corpus(spark, d)
-    fused = search.fuse(search.semantic_rank(q, chunks), _exact(q, chunks), top=8)
+    fused = search.fuse(search.semantic_rank(q, chunks), search.exact_rank(q, chunks), top=8)
     return fused.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -241,8 +235,7 @@ def model_embeddings(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def _stream(spark, d, name):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrow, text
+from ..functions import fixed_values as V
 from ..operators import merge, state
 from ..ship import ship
 from .common import Plans, table
@@ -98,12 +99,15 @@ def text_relevance(spark, d):
     return table(spark, d, "documents").select("doc_id", n.alias("mention_count"), F.when(n > 0, "relevant").otherwise("irrelevant").alias("relevance"))
 
 
-@QUERIES.add("""
+def _any_of(words: list[str]) -> str:
+    """SQL: t holds one of the fixed words."""
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+@QUERIES.add(f"""
 WITH t AS (SELECT doc_id, text AS t FROM documents),
-s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '코스피|코스닥|국내 증시|국내증시|뉴욕증시|나스닥|다우|증시') THEN 1.0 ELSE 0 END
-  + CASE WHEN regexp_matches(t, '장중|장초반|장 초반|장전|마감|개장|급락|급등|사이드카|서킷브레이커|패닉|출렁|브리핑|시황|선 회복|선 붕괴|선 돌파|약세|강세|반등|폭락|폭등|하락 출발|상승 출발|순매도|순매수') THEN 1.0 ELSE 0 END
-  + CASE WHEN regexp_matches(t, '외국인 매도|기관 매수|기관 매도|프로그램 매매|외국인 순매') THEN 0.5 ELSE 0 END
-  - CASE WHEN regexp_matches(t, '계약|착공|인수|합병|공급|출시|투자 발표|임단협|임협|파업|수주|지분|실적|신제품|리콜|협약|MOU|특허|증설|공장|배당|자사주|유상증자') THEN 1.5 ELSE 0 END AS score FROM t)
+s AS (SELECT doc_id, CASE WHEN {_any_of(V.MARKET_SUBJECT)} THEN 1.0 ELSE 0 END + CASE WHEN {_any_of(V.MARKET_MOVE)} THEN 1.0 ELSE 0 END
+  + CASE WHEN {_any_of(V.MARKET_FLOW)} THEN 0.5 ELSE 0 END - CASE WHEN {_any_of(V.COMPANY_EVENT)} THEN 1.5 ELSE 0 END AS score FROM t)
 SELECT doc_id, CAST(score AS DOUBLE) AS market_score FROM s""")
 def text_market_score(spark, d):
     """Points for market words less company events (SCAL-38)."""
