@@ -491,13 +491,42 @@ def test_top_k_against_brute_force(spark, monkeypatch, part_rows, query_rows):
 def test_top_k_bounds_prune():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 1, (2000, 6)) for c in (0, 30, 60)]).round()
-    pivots = topk_search.choose_pivots(x[::10])
-    part = topk_search.PivotPart(np.arange(len(x)), x, pivots)
+    part = topk_search.PivotPart(np.arange(len(x)), x, x[::50])
     ids, scores, done = part.search(5999, x[5999], 20)
     order = np.lexsort((np.arange(len(x)), -(x @ x[5999])))
     assert ids.tolist() == [i for i in order.tolist() if i != 5999][:20] and done < len(x)
 
 
+def test_top_k_bounds_hold_and_prune_near_copies():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 8, (200, 64))
+    x = np.floor(np.repeat(centres, 25, 0) + rng.normal(0, 1, (5000, 64)))
+    part = topk_search.PivotPart(np.arange(len(x)), x, x[rng.permutation(5000)[:256]])
+    shares = []
+    for q in range(0, 5000, 250):
+        score = x @ x[q]
+        assert (part.bounds(x[q], float(x[q] @ x[q])) >= score).all()
+        ids, scores, done = part.search(q, x[q], 20)
+        order = [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:20]
+        assert ids.tolist() == order and scores.tolist() == score[order].astype(int).tolist()
+        shares.append(done / len(x))
+    assert np.mean(shares) < 0.5
+
+
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.2, (50, 4)), rng.normal(0, 1, (6, 4)) * 2e6, rng.normal(0, 1, (4, 4)) * 3e8, [[1e300, 1, 0, 0], [-1e300, 0, 1, 0]]])
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = topk_search.exact_top_k(frame, k=60).toPandas()
+    most = 2**63 - 1
+    ints = [[math.floor(c * 64) for c in v.tolist()] for v in x]
+    for q in range(0, len(x), 20):
+        score = {i: max(-most, min(most, sum(a * b for a, b in zip(ints[q], v)))) for i, v in enumerate(ints) if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:60]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and mine.score.tolist() == [score[i] for i in want]
+
+
 def test_top_k_awkward(spark):
     got = topk_search.exact_top_k(vectors(spark, BAD)).toPandas()
     assert set(got.query_id) == {20, 40} and got[got.query_id == 20].vec_id.tolist() == [2, 1, 2, 8, 4, 40]

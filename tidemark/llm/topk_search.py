@@ -12,99 +12,126 @@ from .common import cut
 
 K = 20
 SCALE = 64
-PIVOTS = 16
-#: Documented bound of the sample that the pivots are chosen from; any pivots give exact results.
-PIVOT_SAMPLE = 4096
+#: Pivots, drawn by hash from all rows (a documented bound; any pivots give exact results), and those nearest a query, which bound best.
+PIVOTS, NEAREST = 256, 8
 #: Rows of a part, held by one task; queries pass through it in a stream.
 PART_ROWS = 16384
 #: Queries that meet a part in one task.
 QUERY_ROWS = 8192
 #: Candidates scored at a time, in the order of their bounds.
 STEP = 512
-#: Components beyond this would lose exactness in a sum of doubles.
-LARGEST = 1 << 20
-#: Squared lengths below which single precision is exact.
-EXACT = 1 << 22
+#: Squared lengths below which products of two rows are exact in single precision, and beyond which a row is kept apart from the table.
+SINGLE, APART = 2.0**22, 2.0**60
+#: |x|^2 |q|^2 below which no partial sum of a product passes 2^53, so that doubles are exact; below the other, 64-bit integers are.
+DOUBLE, WHOLE = 2.0**106, 2.0**124
+LONG = (1 << 63) - 1
 
 
-def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Far-apart rows of the sample: each next one is the farthest from those before."""
-    at = [0]
-    far = ((sample - sample[0]) ** 2).sum(1)
-    while len(at) < min(count, len(sample)):
-        at.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(1))
-    return sample[at]
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE x); what overflows a double stays finite (its scores are beyond a long anyway)."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * SCALE), -(2.0**1023), 2.0**1023)
+
+
+def squared(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x**2).sum(-1)
+
+
+def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole-number rows of any size with q, as longs; those beyond a long are its limit."""
+    most = float(squared(x).max(initial=0.0)) * float(squared(q))
+    if most < DOUBLE:
+        return (x @ q).astype(np.int64)
+    if most < WHOLE:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(c) for c in q]
+    sums = (sum(int(a) * b for a, b in zip(row, whole)) for row in x.tolist())
+    return np.array([max(-LONG, min(LONG, s)) for s in sums], np.int64)
 
 
 class PivotPart:
-    """Candidates with their distances to all pivots."""
+    """Candidates with their distances to all pivots; very long rows stand apart and are always scored."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.pivots = ids[order], x[order], pivots
-        self.norm = (self.x**2).sum(1)
+        ids, x = ids[order], x[order]
+        usual = squared(x) < APART
+        self.far_ids, self.far_x = ids[~usual], x[~usual]
+        self.ids, self.x, self.pivots = ids[usual], x[usual], pivots
+        self.norm = squared(self.x)
         # Whole numbers whose sums stay below 2^24 are exact in single precision.
-        if float(self.norm.max(initial=0.0)) < EXACT:
+        if float(self.norm.max(initial=0.0)) < SINGLE:
             self.x = self.x.astype(np.float32)
-        self.two = np.zeros((2, len(ids)), np.float32)
         self.table = distances(self.x, pivots).T.astype(np.float32)  # one row per pivot
         # A float holds 24 bits; the bounds allow for that.
         self.slack = float(np.abs(self.table).max(initial=0.0)) * 2.0**-22 + 1e-6
+        self.two = np.zeros((2, len(self.ids)), np.float32)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, candidates scored) of the k best, ties to smaller ids; those below `least` may be left out.
-
-        |d(q, p) - d(x, p)| is at most d(q, x) for every pivot p, so the
-        largest over all pivots bounds the distance from below, and
-        q.x = (|q|^2 + |x|^2 - d^2) / 2 from above. Candidates are scored by
-        falling bound until the k-th score passes the next bound.
-        """
+    def bounds(self, q: np.ndarray, length: float) -> np.ndarray:
+        """No score passes its bound: |d(q, p) - d(x, p)| <= d(q, x) for every pivot p, and q.x = (|q|^2 + |x|^2 - d^2) / 2."""
         to_pivot = distances(q[None], self.pivots)[0].astype(np.float32)
+        near = np.argsort(to_pivot, kind="stable")[:NEAREST]
         low, one = self.two
         low.fill(0.0)
-        for p in range(len(self.pivots)):
+        for p in near.tolist():
             np.subtract(self.table[p], to_pivot[p], out=one)
             np.abs(one, out=one)
             np.maximum(low, one, out=low)
         far = np.maximum(low.astype(np.float64) - self.slack, 0.0)
-        length = float(q @ q)
-        small = length < EXACT
-        bound = (length + self.norm - far * far) / 2
+        both = length + self.norm
+        return (both - far * far) / 2 + both * 2.0**-48
+
+    def search(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, candidates scored) of the k best, ties to smaller ids; those below `least` may be left out.
+
+        Candidates are scored by falling bound until the k-th score passes the
+        next bound. Where doubles would not be exact, all are scored in integers.
+        """
+        length = float(squared(q))
+        other = np.flatnonzero(self.far_ids != query_id)
+        ids, scores = self.far_ids[other], exact_products(self.far_x[other], q)
+        if length * APART >= DOUBLE:
+            mine = np.flatnonzero(self.ids != query_id)
+            ids, scores = np.concatenate([ids, self.ids[mine]]), np.concatenate([scores, exact_products(self.x[mine].astype(np.float64), q)])
+            best = np.lexsort((ids, -scores))[:k]
+            return ids[best], scores[best], len(ids)
+        done = len(ids)
+        bound = self.bounds(q, length)
         bound[self.ids == query_id] = -np.inf
-        left, done = np.flatnonzero(bound >= least), 0
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        left = np.flatnonzero(bound >= least)
+        kind = self.x.dtype if length < SINGLE else np.float64
         step = STEP
-        while len(left):
+        while True:
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            if len(ids) == k:
+                left = left[bound[left] >= scores[-1]]  # an equal score with a smaller id may still come
+            if not len(left):
+                return ids, scores, done
             if len(left) > step:
                 part = np.argpartition(-bound[left], step - 1)
                 now, left = left[part[:step]], left[part[step:]]
             else:
                 now, left = left, left[:0]
             now = now[bound[now] > -np.inf]
-            rows = self.x[now] if len(now) < len(self.x) // 2 else self.x
-            got = rows @ q.astype(rows.dtype if small else np.float64)
-            got = (got if len(got) == len(now) else got[now]).astype(np.float64)
+            got = self.x[now] @ q.astype(kind) if len(now) < len(self.x) // 2 else (self.x @ q.astype(kind))[now]
             done += len(now)
-            ids, scores = np.concatenate([ids, self.ids[now]]), np.concatenate([scores, got])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                left = left[bound[left] >= scores[-1]]  # an equal score with a smaller id may still come
+            ids, scores = np.concatenate([ids, self.ids[now]]), np.concatenate([scores, got.astype(np.int64)])
             step *= 8
-        return ids, scores, done
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * (x @ pivots.T), 0.0))
+    return np.sqrt(np.maximum(squared(x)[:, None] + squared(pivots)[None] - 2 * (x @ pivots.T.astype(x.dtype)), 0.0))
 
 
 def exact_top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to smaller vec_id.
 
-    Components become floor(SCALE x) in double; vectors that are null, hold
+    Components become floor(SCALE x) of doubles; vectors that are null, hold
     null or non-finite components, or differ in length from most take no
-    part; so do rows with a null vec_id. Queries are the rows whose vec_id is
+    part; so do rows with a null vec_id. Finite components of any size count:
+    products are exact, and a score beyond a long is its limit. Queries are the rows whose vec_id is
     divisible by `every`; candidates all rows but those of the query's own
     vec_id. Rows that repeat a vec_id are candidates of their own; of those
     that repeat a query's the smallest vector asks.
@@ -115,8 +142,8 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame
     others, leaving out what scores below the first pass's k-th.
     """
     spark = embeddings.sparkSession
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(LARGEST))))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     clean = embeddings.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     counts = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, vec_id long, score long"
@@ -125,14 +152,17 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame
     parts = -(-counts["count"] // PART_ROWS)
     # A hash of id and vector deals out rows that repeat an id as well.
     rows = cut(clean.where(F.size("v") == counts["n"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")), "topk-rows")
-    sample = rows.orderBy(F.xxhash64(F.lit(2), "vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
-    pivots = choose_pivots(np.array(sample.tolist()))
+    h = F.xxhash64(F.lit(2), "v")
+    smallest = [r[0] for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
+    drawn = rows.where(h.isin(smallest)).groupBy(h.alias("h")).agg(F.min("v").alias("v")).toPandas().sort_values("h")["v"]
+    pivots = scaled(np.array(drawn.tolist()))
+    pivots = pivots[squared(pivots) < APART]
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "part")).alias("q")).select("vec_id", "q.v", "q.part")
     turns = max(1, -(-queries.count() // QUERY_ROWS))
 
     def search(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         kind = np.asarray(group["query"])
-        x = np.asarray(group["v"].combine_chunks().values).reshape(group.num_rows, -1)
+        x = scaled(np.asarray(group["v"].combine_chunks().flatten()).reshape(group.num_rows, -1))
         ids, least = np.asarray(group["vec_id"]), np.asarray(group["least"].fill_null(-np.inf))
         part = PivotPart(ids[~kind], x[~kind], pivots)
         who, to, score = [], [], []
