@@ -392,24 +392,48 @@ def test_lm_gradient_matches_differences():
         assert math.isclose((loss(up) - loss(down)) / 2e-4, g[name][at], rel_tol=2e-2, abs_tol=1e-6), name
 
 
-def test_lm_learns_from_every_word(spark, monkeypatch):
+def test_lm_counts_and_learns_every_word(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = np.random.default_rng(3)
     texts = {i: " ".join(f"w{x}" for x in rng.integers(0, 5000, 20_000)) for i in range(60)} | {60: "", 61: None}
-    seen = []
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", lm_scoring.held_out().alias("held_out"), "text")
+    monkeypatch.setattr(lm_scoring, "KEPT_WORDS", 2000)  # the encoder starts anew many times
+    encoded = lm_scoring.encoded_texts(frame, path).toPandas()
+    mine = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    ids, sizes = token_files.WordEncoder(path).encode([(t or "").encode() for t in mine.values()])
+    got = collections.Counter()
+    for r in encoded[encoded.held_out.isna()].itertuples():
+        got.update(dict(zip(r.words, r.counts)))
+    assert got == collections.Counter(w for t in mine.values() for w in (t or "").split())
+    rows = encoded[encoded.held_out.notna()]
+    assert len(rows) == len(texts)
+    train = spark.createDataFrame(rows[rows.held_out == False][["ids"]], "ids binary")  # noqa: E712
+    counts = lm_scoring.id_counts(train)
+    assert np.array_equal(counts, np.bincount(ids))
+    to, _, kinds = lm_scoring.model_ids(counts, 50_000)
+    pairs = lm_scoring.pair_counts(train, to, len(kinds))
+    assert pairs.sum() == len(ids) and np.array_equal(pairs.sum(0), kinds)
+    fitted = lm_scoring.fit(train, 50_000)["model"]
+    assert np.array_equal(fitted["pair"], pairs) and (fitted["mass"][kinds > 0].sum(1) > 0).all()
+    # What the last component explains is no mass of the others.
+    assert 0 < fitted["mass"].sum() < len(ids)
 
-    def record(parts):
-        seen.append((lm_scoring.id_counts(parts), parts.toPandas()))
-        raise StopIteration
 
-    monkeypatch.setattr(lm_scoring, "fit", record)
-    with pytest.raises(StopIteration):
-        lm_scoring.score_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path)
-    ids, _ = token_files.WordEncoder(path).encode([(t or "").encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10])
-    counts, parts = seen[0]
-    assert np.array_equal(counts, np.bincount(ids))
-    assert sum(np.frombuffer(x, "<i4").sum() for x in parts["counts"]) == len(ids)
-    assert sum(np.frombuffer(x, bool).sum() for x in parts["begins"]) == sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in texts)
+def test_lm_learner_takes_every_window(monkeypatch):
+    from tidemark.llm import attention as A
+
+    monkeypatch.setattr(A.Learner, "BLOCK", 7)
+    ids = np.random.default_rng(4).integers(4, 40, 3000)
+    w, y, _ = A.to_blocks(ids, np.array([1000, 1, 1999]))
+    model = A.start_model(np.bincount(ids, minlength=40))
+    whole, again = A.Learner(model, 0.0), A.Learner(model, 0.0)
+    whole.learn(w, y)
+    for lo in range(0, len(w), 50):
+        again.learn(w[lo : lo + 50], y[lo : lo + 50])
+    assert whole.windows == again.windows == len(w) and np.allclose(whole.mass, again.mass, rtol=1e-3)
+    _, c = A.forward(model, A.distributions(model), w, y, 1.0)
+    _, resp = A.gradient(model, w, c)
+    assert np.allclose(whole.mass.sum(), resp[:, : A.MIX].sum(), rtol=1e-3)
 
 
 def test_lm_awkward(spark):

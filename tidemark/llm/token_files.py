@@ -95,9 +95,13 @@ class WordEncoder(Numbers):
 
     def _learn(self, end: int | None) -> None:
         order: list[int] = []
-        count = []
+        count: list[int] = []
         get = self.pieces.__getitem__
         for w in self.new:
+            if w.isalpha() and w.islower():  # a-z alone: one piece
+                order.append(get(w.decode()))
+                count.append(1)
+                continue
             word = (w if b"<|" in w else w.lower()).decode()
             # Marks that compose, a dotted capital I and special tokens can change a word across its pieces.
             plain = w.isascii() or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
@@ -106,24 +110,25 @@ class WordEncoder(Numbers):
             count.append(max(1, len(found)))
         self._learn_pieces(end)
         ids, sizes = self.piece_ids.take(np.array(order, np.int64))
-        count = np.array(count, np.int64)
-        self.word_ids.extend(ids, np.add.reduceat(sizes, np.cumsum(count) - count))
+        count_of = np.array(count, np.int64)
+        self.word_ids.extend(ids, np.add.reduceat(sizes, np.cumsum(count_of) - count_of))
         self.new = []
 
     def _learn_pieces(self, end: int | None) -> None:
-        new, got = self.pieces.new, {}
-        for lo in range(0, len(new), _TOGETHER):
-            some = [i for i in range(lo, min(len(new), lo + _TOGETHER)) if isinstance(new[i], str)]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([new[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+        for lo in range(0, len(self.pieces.new), _TOGETHER):
+            new = self.pieces.new[lo : lo + _TOGETHER]
+            some = [p for p in new if isinstance(p, str)]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-            if len(ends) == len(some):
-                got |= dict(zip(some, np.split(ids, ends[:-1])))
-        alone = [i for i in range(len(new)) if i not in got]
-        texts = [new[i] if isinstance(new[i], str) else new[i][0] for i in alone]
-        for i, t, x in zip(alone, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            got[i] = np.array([end] if t == "\n" else x.ids, np.uint32)
-        if new:
-            rows = [got[i] for i in range(len(new))]
+            if len(ends) == len(some) == len(new):  # the usual case
+                self.piece_ids.extend(ids, np.diff(ends, prepend=0))
+                continue
+            got = dict(zip(some, np.split(ids, ends[:-1]))) if some and len(ends) == len(some) else {}
+            alone = [p for p in new if p not in got]
+            texts = [p if isinstance(p, str) else p[0] for p in alone]
+            for p, t, x in zip(alone, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                got[p] = np.array([end] if t == "\n" else x.ids, np.uint32)
+            rows = [got[p] for p in new]
             self.piece_ids.extend(np.concatenate(rows), np.array([len(r) for r in rows]))
         self.pieces.new = []
 
