@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, pack, unpack, whole_text
+from .common import BLANKS, ascii_lower, unpack, whole_text
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -20,7 +20,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     A null or empty text is one empty line. Rows with a null doc_id count for
     no key and stay as they are. Rows that repeat a doc_id count as one
     document. Extra columns pass through; one named n_lines or n_dropped (in
-    any case) is replaced. An empty table gives an empty one.
+    any case) is replaced. Very long texts are whole. An empty table gives an
+    empty one.
 
     Only (doc_id, hash of the text, position, 128-bit hash of the key) is
     shuffled per line, never the line. The counts combine on the map side
@@ -39,7 +40,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     )
     common = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     gone = lines.join(common, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set("pos").alias("gone"))
-    joined = pack(docs, [F.col("doc_id").alias("key_id"), F.xxhash64(text).alias("key_th"), text.alias("whole")]).join(gone, (F.col("key_id") == F.col("gone_id")) & (F.col("key_th") == F.col("gone_th")), "left")
+    # The text travels once, beside the other columns that stay.
+    others = [c for c in names if c.lower() not in ("text", "n_lines", "n_dropped")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("key_id"), F.xxhash64(text).alias("key_th"), text.alias("whole"))
+    joined = packed.join(gone, (F.col("key_id") == F.col("gone_id")) & (F.col("key_th") == F.col("gone_th")), "left")
     cut_up = joined.select("row", "whole", "gone", F.split("whole", "\n", -1).alias("all_lines"))
     counted = cut_up.select("row", "whole", "gone", "all_lines", F.size("all_lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     stay = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("gone"))
