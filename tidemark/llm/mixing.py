@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pack, unpack, whole_text
+from .common import WORD, cut, pack, unpack, whole_text
 
 #: Signs that are rare in prose; their share lowers a document's quality weight.
 SIGNS = "!#$%&*|<>{}[]\\^~=@_+"
@@ -18,7 +18,23 @@ def quality_weight(text: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(5.0) * signs / n))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, buckets: int = 4096, seed: str = "mix", quality=quality_weight, keep: list[str] | None = None) -> DataFrame:
+#: Ranges of keys: so many to each doubling of -ln(key), over so many doublings from 2^FIRST_DOUBLING on.
+PER_DOUBLING, DOUBLINGS, FIRST_DOUBLING = 146, 28, -20
+BUCKETS = PER_DOUBLING * DOUBLINGS
+
+
+def key_bucket(u: Column, w: Column) -> Column:
+    """Range of the key u^(1/w), the highest keys in the first.
+
+    -ln(u) / w is exponential with rate w, so no doubling of it holds more
+    than a quarter of the keys and no range more than a few thousandths,
+    whatever the weights are.
+    """
+    place = F.floor((F.log2(-F.log(u) / w) - FIRST_DOUBLING) * PER_DOUBLING)
+    return F.greatest(F.lit(0), F.least(place, F.lit(BUCKETS - 1))).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", quality=quality_weight, keep: list[str] | None = None) -> DataFrame:
     """Adds to every document: size, source_size, target, taken (words the mix takes) and copies.
 
     Sizes are words. Sources in code-point order, null last, weigh `weights`
@@ -36,20 +52,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     an added one are replaced. Reruns agree.
 
     The order within a source is never sorted as a whole: keys fall into
-    `buckets` ranges, the sums of which are prefix-summed in a small table;
-    rows meet it by (source, bucket), so that a source with a third of all rows
-    is dealt to `buckets` groups, and only a bucket's own rows are sorted.
+    BUCKETS ranges, the sums of which are prefix-summed in a small table; rows
+    meet it by (source, bucket), so that a source with a third of all rows is
+    dealt to as many groups, and only a bucket's own rows are sorted. Very
+    long texts are measured whole; an empty table gives an empty one.
     """
     names = docs.columns if keep is None else keep
     text = whole_text()
     # "0" and the source, or "1" for null: code-point order, null last.
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("src"), F.col("doc_id").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality(text).alias("w"), ((bits + 0.5) / float(2**52)).alias("u"), F.xxhash64(text).alias("th")])
-    keyed = sized.withColumn("key", F.pow("u", F.lit(1.0) / F.col("w"))).withColumn("bucket", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)))
+    keyed = sized.withColumn("key", F.pow("u", F.lit(1.0) / F.col("w"))).withColumn("bucket", key_bucket(F.col("u"), F.col("w")))
+    if keep is not None:  # narrow rows: texts are read once
+        keyed = cut(keyed, "mix-keys")
     slim = keyed.select("src", "bucket", "size")
     sums = slim.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
     plan = source_targets(sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), weights, most)
-    falling = Window.partitionBy("src").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    falling = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     table = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(falling), F.lit(0))).join(plan, "src").select("src", "bucket", "before", "source_size", "target", "epochs", "budget")
     met = keyed.join(table, ["src", "bucket"])
     own = Window.partitionBy("src", "bucket").orderBy(F.col("key").desc(), F.col("id").asc_nulls_last(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
