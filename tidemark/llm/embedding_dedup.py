@@ -15,6 +15,8 @@ COSINE = 0.98
 TREES = 16
 #: Both sides of a split keep what lies this near to its threshold (unit vectors at cosine 0.98 are 0.2 apart, so 0.025 is typical along one of 64 directions).
 SPILL = 0.03
+#: From this level on the spill shrinks as 1 / level, so that a row's copies in a tree grow with a small power of the depth (about 6 at a billion rows), not exponentially with it.
+FULL_LEVELS = 4
 LEAF_ROWS = 400
 #: Documented bound of the sample on which thresholds are fitted; all rows are indexed.
 SAMPLE = 20_000
@@ -50,6 +52,11 @@ def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 11
     return forest
 
 
+def spill_at(level: int, spill: float = SPILL) -> float:
+    """Spill of a level: whole in the first FULL_LEVELS, then falling, which more levels make up for less than the trees do."""
+    return spill * min(1.0, FULL_LEVELS / (level + 1))
+
+
 def leaves(tree: dict, x: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) pairs: every leaf of the tree that a row falls in, spill included."""
     row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -58,7 +65,8 @@ def leaves(tree: dict, x: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray,
         own, common = tree["cuts"][level], tree["common"][level]
         kinds, inverse = np.unique(node, return_inverse=True)
         t = np.array([own.get(int(k), common) for k in kinds])[inverse]
-        left, right = y < t + spill, y >= t - spill
+        reach = spill_at(level, spill)
+        left, right = y < t + reach, y >= t - reach
         row, node = np.concatenate([row[left], row[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
     return row, node
 
@@ -80,6 +88,7 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE) -> Dat
     it are counts of links and edges of a spanning forest, not pairs. A link
     seen in several leaves counts in the first of them alone, which each row's
     own list of leaves tells. Rows that repeat a vec_id are rows of their own.
+    An empty table gives an empty one.
     """
     spark = embeddings.sparkSession
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
