@@ -42,6 +42,11 @@ def chain_budgets(most: int = MOST_BITS, parts: int = len(WIDTHS)) -> list[int]:
     return [most * n // parts for n in range(1, parts + 1)]
 
 
+def own_keys(fp: Column) -> Column:
+    """array<long>: the fingerprint's own key at each start of the ring."""
+    return F.array(*[F.shiftleft(_segment(fp, i), 13).bitwiseOR(_segment(fp, (i + 1) % len(WIDTHS))).bitwiseOR(F.lit(i << 40)) for i in range(len(WIDTHS))])
+
+
 def chain_keys(fp: Column) -> Column:
     """array<struct<start, key, own>>: for each start of the ring, the segment there and the next, and each key that differs from it by one bit of the next.
 
@@ -80,7 +85,7 @@ def links(fps: DataFrame) -> DataFrame:
     smallest that shares one (a linear count; at most 2,081 share a value).
     """
     keyed = fps.select("fp", F.explode(chain_keys(F.col("fp"))).alias("k")).select("fp", "k.start", "k.key", "k.own")
-    hot = fps.select("fp", F.explode(chain_keys(F.col("fp"))).alias("k")).where("k.own").groupBy(F.col("k.key").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key")
+    hot = fps.select(F.explode(own_keys(F.col("fp"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key")
     hot = cut(hot, "simhash-hot")
     if hot.isEmpty():
         cool, close = keyed, None
@@ -102,7 +107,7 @@ def links(fps: DataFrame) -> DataFrame:
     return found if close is None else found.union(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: list[str] | None = None, root: str | None = None) -> DataFrame:
     """docs with `fingerprint` (long) and `component_id` (the smallest doc_id reachable, itself included).
 
     Documents link when their fingerprints differ in MOST_BITS bits or fewer;
@@ -110,7 +115,10 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     fingerprints are grouped first, so that copies make no pairs. A null
     doc_id takes part; its rows get the smallest doc_id of their component,
     null if there is none. Rows that repeat a doc_id are compared by their own
-    texts. Columns pass through (only those of `carry`, if it is given); those named like an added one are replaced.
+    texts. Columns pass through (only those of `carry`, if it is given); those
+    named like an added one are replaced. `root` names a further column, the
+    component's smallest fingerprint, which tells components apart where a
+    doc_id repeats. Very long texts are whole; an empty table gives an empty one.
     """
     names = docs.columns if carry is None else carry
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
@@ -120,22 +128,27 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     comps = components(links(fps.select("fp")), "simhash-links")
     by_fp = fps.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = by_fp.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return unpack(marked.join(classes, "fp"), names, {"fingerprint": F.col("fp"), "component_id": F.col("component_id")})
+    classes = by_fp.select("fp", "root").join(lowest, "root").select("fp", "component_id", "root")
+    return unpack(marked.join(classes, "fp"), names, {"fingerprint": F.col("fp"), "component_id": F.col("component_id")} | ({root: F.col("root")} if root else {}))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one whose doc_id is the component's smallest (of rows that repeat it, one).
+    """One document of each group stays: the one whose doc_id is the component's smallest.
+
+    Of rows that repeat it, the one with the smallest hash of the text stays,
+    and of rows equal in both, the first by all columns written as JSON. Null
+    doc_ids stay only in groups without any other; null and empty texts are
+    one group; an empty table gives an empty one.
 
     Components are found on (doc_id, hash of the text) alone; whole rows are
     shuffled once, to meet the keys that stay.
     """
     names, th = docs.columns, F.xxhash64(F.coalesce("text", F.lit("")))
     slim = docs.select("doc_id", "text", th.alias("th"))
-    marked = near_duplicates(slim, carry=["doc_id", "th"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    first = marked.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("stay_th")).select(F.coalesce("component_id", F.lit(0)).alias("stay_id"), F.col("component_id").isNull().alias("stay_null"), "stay_th")
+    marked = near_duplicates(slim, carry=["doc_id", "th"], root="root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = marked.groupBy("root").agg(F.min("th").alias("stay_th"), F.first("component_id").alias("id")).select(F.coalesce("id", F.lit(0)).alias("stay_id"), F.col("id").isNull().alias("stay_null"), "stay_th")
     keyed = pack(docs, [F.coalesce("doc_id", F.lit(0)).alias("stay_id"), F.col("doc_id").isNull().alias("stay_null"), th.alias("stay_th")])
     keys = ["stay_id", "stay_null", "stay_th"]
-    one = keyed.join(first.distinct(), keys, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("stay_th"))).where("nth = 1")
+    order = F.to_json(F.struct(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(names) if c.lower() != "text"]))
+    one = keyed.join(first.distinct(), keys, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1")
     return one.select(*[F.col("row")[c].alias(c) for c in names])
