@@ -37,7 +37,7 @@ AWKWARD = [
 def docs(spark, rows=AWKWARD):
     plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     # Extra columns with the names of what operators add.
-    return plain.selectExpr("*", "'x' AS row", "1 AS size", "2 AS fingerprint", "3 AS SCORE", "4 AS secrets", "5 AS n_lines", "6 AS gone", "7 AS src")
+    return plain.selectExpr("*", "'x' AS row", "1 AS size", "2 AS fingerprint", "3 AS SCORE", "4 AS secrets", "5 AS n_lines", "6 AS gone", "7 AS src", "8 AS _one", "9 AS __seed", "10 AS one")
 
 
 def words(text):
@@ -87,7 +87,9 @@ def test_secrets_base_and_structure(spark):
     import json
 
     key = der((0x02, b"\0"), (0x30, bytes([0x06, 3, 42, 1, 2])), (0x04, b"k" * 40))
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"p" * 32))
+    field = lambda *parts: b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+    public = field(b"ssh-ed25519", b"p" * 32)
+    ssh = b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(public, b"r" * 64)
     b64 = lambda x: base64.b64encode(x).decode()
     jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), json.dumps({"sub": 1}).encode(), b"s" * 32))
     text = f"é Token: 'abc' secret: token:abcdefgh API_KEY=abcdef AKIA{'Z' * 16} {'ab' * 12} {'ab' * 11}\n{b64(key)} {b64(ssh)} {jwt} {key.hex()}\n-----BEGIN PRIVATE KEY-----\n{b64(key)}\n-----END PRIVATE KEY-----\n{b64(key[:-1] + b'xx')} {b64(bytes(range(60)))}"
@@ -95,6 +97,22 @@ def test_secrets_base_and_structure(spark):
     assert [x for x in got if x[0] in ("assign", "access", "hex")] == brute_secrets(text)
     more = [k for k, _, _ in got if k not in ("assign", "access", "hex")]
     assert sorted(more) == sorted(["der", "ssh", "jwt", "der", "pem", "der"])  # the body of a PEM block is DER as well
+    # What is no secret: a signature, a public key of either kind, a certificate's shape, a container that stops short.
+    signature = der((0x02, b"r" * 32), (0x02, b"s" * 32))
+    spki = der((0x30, bytes([0x06, 3, 42, 1, 2])), (0x03, b"\0" + b"p" * 40))
+    cert = der((0x30, b"\x02\x01\x01"), (0x30, bytes([0x06, 3, 42, 1, 2])), (0x03, b"\0" + b"s" * 40))
+    for data in (signature, spki, cert, public, ssh[:-4], der((0x02, b"n" * 60), (0x02, b"\1\0\1"))):
+        for t in (b64(data), data.hex(), f"-----BEGIN PUBLIC KEY-----\n{b64(data)}\n-----END PUBLIC KEY-----", f"-----BEGIN PRIVATE KEY-----\n{b64(data)}\n-----END PRIVATE KEY-----"):
+            assert not [x for x in secret_scan.find_secrets(t) if x[0] not in ("assign", "access", "hex")], t
+    rsa = der(*[(0x02, b"\0" if i == 0 else b"k" * 4) for i in range(9)])
+    sec1 = der((0x02, b"\1"), (0x04, b"k" * 32), (0xA0, bytes([0x06, 3, 42, 1, 2])))
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{b64(b'x' * 64)}\n-----END RSA PRIVATE KEY-----"
+    assert [secret_scan.find_secrets(t)[-1][0] for t in (b64(rsa), b64(sec1), locked)] == ["der", "der", "pem"]
+    import time
+
+    begun = time.process_time()
+    secret_scan.find_secrets("eyJ" * 400_000 + " " + "a." * 400_000)
+    assert time.process_time() - begun < 5
     rows = secret_scan.scan_secrets(docs(spark)).toPandas()
     assert len(rows) == len(AWKWARD) and rows.secrets.map(len).sum() == 0
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
@@ -145,6 +163,14 @@ def test_mixing_prefers_quality(spark):
     assert part[part.doc_id % 2 == 1].taken.sum() > 1.5 * part[part.doc_id % 2 == 0].taken.sum()
 
 
+def test_mixing_buckets_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(200_000).select(((F.rand(3) * (2**52 - 1)).cast("long") + 0.5).alias("n"), F.explode(F.array(F.lit(0.1), F.lit(1.0))).alias("w"))
+    got = frame.select("w", mixing.key_bucket(F.col("n") / float(2**52), F.col("w")).alias("b")).groupBy("w", "b").count().toPandas()
+    assert got["count"].max() < 0.01 * 200_000 and got.b.between(0, mixing.BUCKETS - 1).all()
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries()["op6_quality_classifier"](spark, d).toPandas().set_index("doc_id")
@@ -228,6 +254,11 @@ def test_simhash_awkward(spark):
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert ids.count(3) == 1 and 5 not in ids and {1, 2, 3, 4, 6, 7} <= set(ids)
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    # A doc_id with unrelated texts: each of its groups keeps a document.
+    apart = [(5, "one two three four five six seven", "en", "a", 1), (5, "red green blue black white grey pink", "en", "a", 1), (7, "red green blue black white grey pink", "en", "b", 1)]
+    assert sorted(r.text[:3] for r in simhash.drop_near_duplicates(docs(spark, apart)).collect()) == ["one", "red"]
+    same = [(5, "one two three four five six seven", lang, "a", 1) for lang in ("fr", "de", "en")]
+    assert [r.lang for r in simhash.drop_near_duplicates(docs(spark, same)).collect()] == ["de"]
 
 
 def test_token_files_round_trip(spark):
@@ -473,6 +504,24 @@ def test_embedding_dedup_against_brute_force(spark):
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def test_embedding_forest_recall_in_depth():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (20_000, 64))
+    x[10_000:] = x[:10_000] / np.linalg.norm(x[:10_000], axis=1, keepdims=True) + rng.normal(0, 0.02, (10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x[:10_000] * x[10_000:]).sum(1) >= 0.98
+    forest = embedding_dedup.fit_forest(x[:: 2], 20_000 * 400 // 20)  # depth 10, as at 0.4 million rows
+    assert len(forest[0]["way"]) == 10 and near.sum() > 1000
+    shared, copies = np.zeros(10_000, bool), 0
+    for tree in forest:
+        row, leaf = embedding_dedup.leaves(tree, x)
+        copies += len(row)
+        key = set((row * (1 << 20) + leaf).tolist())
+        first = row < 10_000
+        shared[[r for r, f in zip(row[first].tolist(), leaf[first].tolist()) if (r + 10_000) * (1 << 20) + f in key]] = True
+    assert shared[near].mean() > 0.99 and copies / len(x) / len(forest) < 5
+
+
 def test_embedding_dedup_large_leaf_is_dealt(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(4)
