@@ -183,6 +183,42 @@ def test_quality_held_out(spark):
     assert ((got.score >= 0) & (got.score <= 1)).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def test_prior_needs_no_negatives():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.8):
+        good = lambda n: rng.normal(1.5, 1, (n, 6))
+        n = int(4000 * share)
+        mixed = np.concatenate([good(n), rng.normal(-1.5, 1, (4000 - n, 6))])
+        assert abs(quality.estimate_prior(good(3000), mixed) - share) < 0.06
+
+
+def test_nnpu_minimises_the_plain_risk():
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(0.7, 1, (300, 4)), np.concatenate([rng.normal(0.7, 1, (200, 4)), rng.normal(-0.7, 1, (200, 4))]), 0.5
+    fitted = quality.fit_nnpu(p, u, prior)
+
+    def risk(w, b):
+        loss = lambda x, sign: sum(math.log1p(math.exp(-sign * (sum((c - m) / s * k for c, m, s, k in zip(row, fitted["mean"], fitted["spread"], w)) + b))) for row in x) / len(x)
+        return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1))
+
+    best = risk(fitted["w"], fitted["b"])
+    for _ in range(40):
+        step = rng.normal(0, 0.5, 5)
+        assert risk(fitted["w"] + step[:4], fitted["b"] + step[4]) > best - 1e-3
+
+
+def test_quality_features_against_plain_counts():
+    text = "One two two.\nThree! four 55\n\nOne"
+    got = quality.features(text.encode())
+    kinds = lambda c: next((i for i, g in enumerate(quality._GROUPS) if c.encode() in g), None)
+    pairs = collections.Counter((kinds(a), kinds(b)) for a, b in zip(text, text[1:]))
+    for (a, b), n in pairs.items():
+        assert math.isclose(got[a * quality._N + b], math.sqrt(n / len(text)), rel_tol=1e-5)
+    shape = got[quality._N**2 :]
+    words = text.split()
+    assert math.isclose(shape[2], len(set(words)) / len(words), rel_tol=1e-6) and math.isclose(shape[8], 0.0, abs_tol=1e-6)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (9, None)], "doc_id long, quality int")
     for model in (None, quality.fit(docs(spark), labels)):

@@ -42,6 +42,35 @@ def features(text: bytes) -> np.ndarray:
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> float:
+    """Share of positives among the unlabelled, from these two samples alone.
+
+    Where a text is surely positive, the density of the unlabelled is the
+    prior times that of the positives. A logistic fit of the one sample
+    against the other gives that ratio; each half of the rows is judged by
+    the fit of the other half, and the median over the positives is taken.
+    """
+    every = np.vstack([positive, unlabelled]).astype(np.float64)
+    x = np.column_stack([(every - every.mean(0)) / (every.std(0) + 1e-3), np.ones(len(every))])
+    y = np.arange(len(every)) < len(positive)
+    half = np.concatenate([np.arange(len(positive)), np.arange(len(unlabelled))]) % 2
+    odds = np.zeros(len(every))
+    for side in (0, 1):
+        a, b = x[half != side], y[half != side]
+        w = m = v = np.zeros(x.shape[1])
+        for t in range(1, steps + 1):
+            grad = a.T @ (_sigmoid(a @ w) - b) / max(1, len(b)) + decay * np.append(w[:-1], 0.0)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        g = _sigmoid(x[half == side] @ w)
+        odds[half == side] = g / (1 - g)
+    return float(np.clip(len(positive) / len(unlabelled) / np.median(odds[y]), 0.05, 0.95))
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> dict:
     """Linear scores g minimising prior R_p(+) + max(0, R_u(-) - prior R_p(-)), logistic loss (Kiryo et al., 2017)."""
     every = np.vstack([positive, unlabelled]).astype(np.float64)
@@ -49,10 +78,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     p, u = (positive - mean) / spread, (unlabelled - mean) / spread
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
         gp, gu = p @ w + b, u @ w + b
-        sp, su = sigmoid(gp), sigmoid(gu)
+        sp, su = _sigmoid(gp), _sigmoid(gu)
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         cp, cu = -prior * (1 - sp) / len(p), np.zeros(len(u))
         if negative >= 0:
@@ -66,25 +94,24 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return {"mean": mean, "spread": spread, "w": w, "b": b}
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
     """Model from trusted positives (labels.quality = 1) and unlabelled texts of `docs`; None where there are none.
 
-    Only labels with crc32(doc_id as text) mod `folds` other than 0 are read.
-    The class prior is estimated as their share of positives. Both samples
-    are bounded (POSITIVES, UNLABELLED) and chosen by hash of doc_id.
+    Only labels with crc32(doc_id as text) mod `folds` other than 0 are read,
+    and of those the positive ones alone: the class prior is estimated from
+    the two samples. Both are bounded by parameters and chosen by hash of
+    doc_id; rows without a doc_id are scored, never learnt from, and of rows
+    that repeat one each counts.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    seen = labels.where((fold != 0) & F.col("quality").isNotNull())
-    share = seen.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    if not share:
-        return None
-    trusted = seen.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(POSITIVES)
-    anyone = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(UNLABELLED).distinct()
+    seen = labels.where(fold != 0)
+    trusted = seen.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(positives)
+    anyone = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(unlabelled).distinct()
     picks = [(int(r[0]), True) for r in trusted.collect()] + [(int(r[0]), False) for r in anyone.collect()]
     if not picks:
         return None
-    chosen = F.broadcast(spark.createDataFrame(picks, "doc_id long, trusted boolean"))  # at most POSITIVES + UNLABELLED rows
+    chosen = F.broadcast(spark.createDataFrame(picks, "doc_id long, trusted boolean"))  # at most positives + unlabelled rows
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -96,15 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> dict | None:
     p, u = of(True), of(False)
     if not len(p) or not len(u):
         return None
-    return fit_nnpu(p, u, float(np.clip(share, 0.05, 0.95)))
+    return fit_nnpu(p, u, estimate_prior(p, u))
 
 
 def score_quality(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with `score` (0 to 1, of whole texts) and `predicted` (1 if score >= ACCEPT).
 
     Reads the text alone. Null counts as empty and is scored like any other.
-    Without a model (no labelled positives) every score is 0.5. Columns named
-    score or predicted are replaced, all others pass through.
+    Without a model (no labelled positives) every score is 0.5. Very long texts
+    are read whole; rows that repeat are scored each; an empty table gives an
+    empty one. Columns named score or predicted are replaced, all others pass
+    through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
