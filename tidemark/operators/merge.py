@@ -60,18 +60,27 @@ def replace_children(children: DataFrame, incoming: DataFrame, parent: str) -> D
 
 
 def publish(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version beside the old, then point to it (SNK-25, 26): readers never see half a version."""
+    """Write a new version beside the old, then point to it by the next number (SNK-25, 26): readers never see half a version."""
     spark, version = df.sparkSession, uuid.uuid4().hex
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{folder}/v-{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{folder}/versions")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    last = _versions(spark, folder).agg(F.max("number")).first()[0] if known else 0
+    spark.createDataFrame([(version, last + 1)], _VERSION).coalesce(1).write.mode("append").json(f"{folder}/versions")
     return version
 
 
+_VERSION = "version string, number long"
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_VERSION).json(f"{folder}/versions")
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that was published last."""
-    rows = spark.read.json(f"{folder}/versions").select("version", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("f"))
-    return spark.read.parquet(f"{folder}/v-{rows.orderBy(F.desc('at'), F.desc('f')).first()[0]}")
+    """The version that was published last: the one with the highest number."""
+    return spark.read.parquet(f"{folder}/v-{_versions(spark, folder).orderBy(F.desc('number'), F.desc('version')).first()[0]}")
 
 
 def claim(claims: DataFrame, wanted: DataFrame, keys: list[str], now: Column, stale: str = "30 minutes") -> DataFrame:

@@ -61,5 +61,5 @@ def spread_sample(spark, d):
 SELECT lang AS stock_code, arg_max(source, struct_pack(n := n, s := source)) AS cluster_id FROM (SELECT lang, source, count(*) AS n FROM documents WHERE contains(text, 'the') GROUP BY 1, 2) GROUP BY 1""")
 def needle_clusters(spark, d):
     """The cluster in which most titles hold a word (JOIN-29)."""
-    n = table(spark, d, "documents").where(F.col("text").contains("the")).groupBy(F.col("lang").alias("stock_code"), F.col("source").alias("cluster_id")).agg(F.count("*").alias("n"))
-    return n.groupBy("stock_code").agg(F.max_by("cluster_id", F.struct("n", "cluster_id")).alias("cluster_id"))
+    members = table(spark, d, "documents").select(F.col("lang").alias("stock_code"), F.col("source").alias("cluster_id"), F.col("text").alias("title"))
+    return news.needle_cluster(members, "the")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, news, relational, retrieval, texts
+from . import aggregates, news, records, relational, retrieval, texts
 
-MODULES = (relational, aggregates, texts, retrieval, news)
+MODULES = (relational, aggregates, texts, retrieval, news, records)
 FLAGSHIP = "hybrid_search"
 
 
