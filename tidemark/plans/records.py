@@ -68,7 +68,7 @@ UNION ALL SELECT stock_code, bsns_year, fs_div, account, a, f, 'point_in_time' F
 
 @QUERIES.add(_STATEMENTS + "SELECT stock_code, bsns_year, fs_div, account_nm, thstrm_amount, frmtrm_amount, amount_type FROM s")
 def statement_rows(spark, d):
-    """Standard accounts by id, else by name, with quarter and cumulative amounts (SCAL-26..28, FIL-8)."""
+    """Standard accounts by id, else by name, with quarter and cumulative amounts (SCAL-27, 28)."""
     return filings.statement_rows(_statements(spark, d)).select("stock_code", F.col("bsns_year").cast("long").alias("bsns_year"), "fs_div", "account_nm", "thstrm_amount", "frmtrm_amount", "amount_type")
 
 
@@ -268,7 +268,7 @@ def term_lookup(spark, d):
 @QUERIES.add("""
 SELECT event_id, CAST(CASE WHEN m < 60 THEN greatest(m, 0) || ' min' WHEN m < 1440 THEN CAST(floor(m / 60) AS BIGINT) || ' h' ELSE CAST(floor(m / 1440) AS BIGINT) || ' d' END AS VARCHAR) AS ago, strftime(ts + INTERVAL 9 HOURS, '%Y-%m-%d') AS day, CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) AS half FROM (SELECT *, CAST(floor((epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events)""")
 def shown_times(spark, d):
-    """Times as they are shown (SCAL-71..74)."""
+    """Times as they are shown (SCAL-71)."""
     e = table(spark, d, "events")
     return e.select("event_id", text.relative_time("ts", F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("ago"), text.kst_day("ts").alias("day"), text.half_hour("ts").cast("timestamp_ntz").alias("half"))
 
@@ -276,14 +276,14 @@ def shown_times(spark, d):
 @QUERIES.add("""
 SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS short FROM documents""")
 def clamped_texts(spark, d):
-    """Texts cut to a width (SCAL-55)."""
+    """Texts cut to a width."""
     return table(spark, d, "documents").select("doc_id", text.clamp("text", 40).alias("short"))
 
 
 @QUERIES.add("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS first_day, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS correction FROM orders""")
 def correction_notes(spark, d):
-    """Dates of first submission in notes, and filings that correct others (SCAL-22, FIL-11)."""
+    """Dates of first submission in notes, and filings that correct others (SCAL-67, SCAL-69)."""
     o = table(spark, d, "orders")
     note = F.concat(F.lit("정정대상 공시서류의 최초제출일 : "), F.date_format("o_orderdate", "yyyy'년 'M'월 'd'일'"))
     title = F.when(F.col("o_orderkey") % 2 == 0, "[기재정정] 보고").otherwise("보고")
@@ -293,7 +293,7 @@ def correction_notes(spark, d):
 @QUERIES.add("""
 SELECT event_id, CAST(k AS BIGINT) AS amount, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') END AS day FROM (SELECT *, CAST(trunc(value * 1000) AS BIGINT) AS k FROM events)""")
 def parsed_values(spark, d):
-    """Amounts with commas and dates in many forms (SCAL-18..20)."""
+    """Amounts with commas and dates in many forms (SCAL-19, SCAL-20)."""
     e = table(spark, d, "events")
     shown = F.format_number((F.col("value") * 1000).cast("long"), 0)
     form = F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyyMMdd")).when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy. M. d")).otherwise("none")
