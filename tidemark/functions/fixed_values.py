@@ -132,6 +132,27 @@ INFO_PATTERNS = [
 # fixed value: three or more names in a row
 NAME_LIST = r"[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}"
 
+# fixed value: titles of opinion pieces
+OPINION = (
+    r"사설|칼럼|기고|기자\s*수첩|데스크|논설|시론|만평|만화경|"
+    r"[월화수목금]요\s*광장|광장\]|"
+    r"\[사설\]|\[시론\]|\[기고\]|\[초점\]|\[진단\]|\[시선\]|\[돋보기\]|\[뷰\]"
+)
+
+# fixed values: the term that a question asks for, and particles at its end
+ASKED_TERM = r"([A-Za-z가-힣0-9]+)\s*(?:이|가|은|는|란|이란)?\s*(?:뭐|뜻|정의|무슨|무엇)"
+PARTICLES = ("이", "가", "은", "는", "란", "이란", "라는", "라고", "가요", "이가")
+
+# fixed values: what table headers and cells of a report show
+YEAR_KIND = r"(?:[1-4]Q)?(20\d{2})\.?\s*([AEFP])(?![A-Za-z가-힣])"
+KIND_OF_LETTER = {"A": "actual", "E": "estimate", "F": "forecast", "P": "estimate"}
+GUIDANCE = r"(?i)(가이던스|guidance|회사\s*가이드|사측\s*전망)"
+UNITS = r"(십억원|백만원|억원|천원|백만달러|백만USD|원|달러|USD|%|배|주|천주|천대)"
+MERGED_NUMBERS = r"^((?:\d+\s+)+)((?:,\s*)+)(.*)$"
+
+# fixed values: how an article stands to the story before it
+STORY_RELATIONS = ("initial", "follow_up", "reaction", "unknown")
+
 # fixed values: words that show what a question asks for
 ASKS_NUMBER = (
     "매출",

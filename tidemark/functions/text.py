@@ -154,6 +154,11 @@ def kind(title, description, threshold: float = 2.0) -> Column:
     return F.when(market_score(title, description) >= threshold, "market").when(is_info(title, description), "info").otherwise("company")
 
 
+def is_opinion(title) -> Column:
+    """The title marks an opinion piece (FIL-18)."""
+    return F.rlike(F.coalesce(as_column(title), F.lit("")), F.lit(V.OPINION))
+
+
 def relevance_text(c) -> Column:
     """Lower case, dashes, underscores and slashes to spaces, white space collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(as_column(c), F.lit(""))), "[-‐‑‒–—_/]+", " "), r"\s+", " "))
@@ -284,13 +289,39 @@ def is_abbreviation(c) -> Column:
     return ~t.contains(" ") & (letters > 0) & (F.char_length(F.regexp_replace(t, "[^A-Z]", "")) / letters >= 0.6)
 
 
-def term_candidates(question, particles=("이란", "란", "은", "는", "이", "가", "을", "를", "의")) -> Column:
-    """A term and its forms without a particle at the end, in order."""
-    t = F.trim(F.regexp_replace(as_column(question), r"[?!.\s]+$", ""))
-    forms = [F.when(t.endswith(p) & (F.char_length(t) > len(p)), F.regexp_replace(t, p + "$", "")) for p in particles]
+def term_candidates(question) -> Column:
+    """The term that a question asks for, else the question without its end marks, then its forms without a particle, in order (SCAL-49)."""
+    q = F.coalesce(as_column(question), F.lit(""))
+    t = F.coalesce(blank_to_null(F.regexp_extract(q, V.ASKED_TERM, 1)), F.trim(F.regexp_replace(q, r"[?!.\s]+$", "")))
+    forms = [F.when(t.endswith(p) & (F.char_length(t) > len(p)), F.regexp_replace(t, p + "$", "")) for p in V.PARTICLES]
     return F.array_distinct(F.filter(F.array(t, *forms), lambda x: x.isNotNull() & (x != "")))
 
 
+def event_signature(raw) -> Column:
+    """An event's signature as (core_subjects, core_topic, unique_anchors, story_relation) from JSON of this or the older form (SCAL-42).
+
+    A single value counts as a list of one; texts are trimmed and empty ones left out.
+    """
+    raw = as_column(raw)
+    field = lambda k: F.get_json_object(raw, f"$.{k}")
+
+    def listed(k: str) -> Column:
+        v = field(k)
+        found = F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.isNotNull(), F.array(v))
+        return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+    new = reduce(lambda a, b: a | b, [field(k).isNotNull() for k in ("core_subjects", "core_topic", "unique_anchors", "story_relation")])
+    relation = F.trim(F.coalesce(field("story_relation"), F.lit("unknown")))
+    topic = F.concat_ws(" ", *[blank_to_null(field(k)) for k in ("action", "object", "product_or_project")])
+    anchors = F.array_distinct(F.concat(*[listed(k) for k in ("amount", "event_date", "identifiers", "product_or_project")]))
+    return F.struct(
+        F.when(new, listed("core_subjects")).otherwise(listed("subject")).alias("core_subjects"),
+        F.when(new, blank_to_null(field("core_topic"))).otherwise(blank_to_null(topic)).alias("core_topic"),
+        F.when(new, listed("unique_anchors")).otherwise(anchors).alias("unique_anchors"),
+        F.when(new & relation.isin(*V.STORY_RELATIONS), relation).otherwise("unknown").alias("story_relation"),
+    )
+
+
 # Formats (SCAL-54, 55, 70, 71, 92, 93) ------------------------------------------------------------
 
 
@@ -360,23 +391,31 @@ def labelled(c, labels, value: str, group: int = 1, within: int = 120) -> Column
 
 
 def narrative_table(cells) -> Column:
-    """A table of text: under 15 % of its cells are numbers, or one is longer than 120 signs."""
-    flat = F.filter(F.flatten(as_column(cells)), lambda x: F.trim(x) != "")
-    numbers = F.size(F.filter(flat, lambda x: F.rlike(F.trim(x), F.lit(r"^[-+(]?[\d,.]+[)%]?$"))))
+    """A table of text: under 15 % of its cells hold a number, or one is longer than 120 signs; so is one without cells."""
+    flat = F.filter(F.flatten(as_column(cells)), lambda x: x != "")
+    numbers = F.size(F.filter(flat, lambda x: F.rlike(x, F.lit(r"\d"))))
     return (F.size(flat) == 0) | (numbers / F.greatest(F.size(flat), F.lit(1)) < 0.15) | F.exists(flat, lambda x: F.char_length(x) > 120)
 
 
 def column_kinds(headers) -> Column:
-    """actual, estimate, forecast or unknown by the letter after a year."""
-    return F.transform(as_column(headers), lambda h: F.when(F.rlike(h, F.lit(r"\d{2,4}\s*A\b")), "actual").when(F.rlike(h, F.lit(r"\d{2,4}\s*E\b")), "estimate").when(F.rlike(h, F.lit(r"\d{2,4}\s*[FP]\b")), "forecast").otherwise("unknown"))
+    """actual, estimate or forecast by the letter after a year; guidance by its words; else unknown."""
+    letters = F.create_map(*[F.lit(x) for pair in V.KIND_OF_LETTER.items() for x in pair])
+    letter = lambda h: blank_to_null(F.regexp_extract(F.coalesce(h, F.lit("")), V.YEAR_KIND, 2))
+    guided = lambda h: F.when(F.rlike(F.coalesce(h, F.lit("")), F.lit(V.GUIDANCE)), "guidance").otherwise("unknown")
+    return F.transform(as_column(headers), lambda h: F.coalesce(F.try_element_at(letters, letter(h)), guided(h)))
 
 
 def table_kind(kinds) -> Column:
     k = as_column(kinds)
-    past, ahead = F.array_contains(k, "actual"), F.array_contains(k, "estimate") | F.array_contains(k, "forecast")
+    past, ahead = F.array_contains(k, "actual"), F.arrays_overlap(k, F.array(*[F.lit(x) for x in ("estimate", "forecast", "guidance")]))
     return F.when(past & ahead, "mixed").when(past, "actual").when(ahead, "forecast").otherwise("unknown")
 
 
+def units(c, most: int = 8) -> Column:
+    """The units that a table's text names, each once, in the order of their first places (SCAL-62)."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(as_column(c), F.lit("")), F.lit(V.UNITS), 1)), 1, most)
+
+
 def fixed_chunks(c, width: int = 1000) -> Column:
     """Pieces of that many signs, in order; none of an empty text (SCAL-14)."""
     c = as_column(c)

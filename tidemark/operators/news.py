@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import text
 from .merge import keep_first
 
@@ -102,11 +103,28 @@ def glossary_differences(contents: DataFrame, parsed: DataFrame) -> tuple[DataFr
     return a.join(b, "t", "left_anti"), b.join(a, "t", "left_anti")
 
 
+def _bracket_parts(inner: Column) -> Column:
+    """What stands between the marks in a term's brackets; nothing where they hold Korean."""
+    s = F.when(F.rlike(inner, F.lit("[가-힣]")), "").otherwise(F.coalesce(inner, F.lit("")))
+    return F.filter(F.transform(F.split(s, "[;:]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def abbreviations(inner: Column) -> Column:
+    """All abbreviations in a term's brackets, in order (SCAL-65)."""
+    return F.filter(_bracket_parts(inner), lambda x: text.is_abbreviation(x))
+
+
 def english_name(inner: Column) -> Column:
-    """(english, abbreviation) of what stands in a term's brackets (SCAL-65)."""
-    parts = F.transform(F.split(inner, "[;:]"), lambda x: F.trim(x))
-    short = F.filter(parts, lambda x: text.is_abbreviation(x))
-    return F.struct(F.get(F.array_except(parts, short), F.lit(0)).alias("english"), F.get(short, F.lit(0)).alias("abbreviation"))
+    """(english, abbreviation) of what stands in a term's brackets: the first of each kind (SCAL-65)."""
+    full = F.filter(_bracket_parts(inner), lambda x: ~text.is_abbreviation(x))
+    return F.struct(F.get(full, F.lit(0)).alias("english"), F.get(abbreviations(inner), F.lit(0)).alias("abbreviation"))
+
+
+def defined_name(term: Column, definition: Column) -> Column:
+    """english_name of the brackets right behind the term, in the first 250 signs of its definition (SCAL-87)."""
+    base, head = F.trim(F.substring_index(term, "/", 1)), F.substring(definition, 1, 250)
+    rest = F.when(base != "", F.substr(head, F.nullif(F.position(F.concat(base, F.lit("(")), head), F.lit(0)) + F.char_length(base)))
+    return english_name(text.blank_to_null(F.regexp_extract(rest, r"^\(([^()]*[A-Za-z][^()]*)\)", 1)))
 
 
 def glossary_text(term: Column, english: Column, aliases: Column, definition: Column) -> Column:
@@ -115,8 +133,12 @@ def glossary_text(term: Column, english: Column, aliases: Column, definition: Co
 
 
 def repair_cell(cell: Column) -> Column:
-    """Numbers that layout cut: blanks beside a comma or point go (SCAL-58, 83)."""
-    return F.regexp_replace(F.regexp_replace(F.trim(cell), r"(\d)\s+([,.])\s*(\d)", "$1$2$3"), r"(\d[,.])\s+(\d)", "$1$2")
+    """Numbers that layout cut: commas that gathered behind several numbers go back into them, blanks beside a mark go (SCAL-58, 83)."""
+    c = F.trim(F.regexp_replace(cell, r"\s+", " "))
+    numbers = F.split(F.trim(F.regexp_extract(c, V.MERGED_NUMBERS, 1)), " ")
+    apart = F.array_join(F.transform(numbers, lambda n: F.coalesce(F.format_number(n.try_cast("bigint"), 0), n)), " ")
+    c = F.when(F.size(numbers) >= 2, F.concat_ws(" ", apart, text.blank_to_null(F.regexp_extract(c, V.MERGED_NUMBERS, 3)))).otherwise(c)
+    return F.regexp_replace(F.regexp_replace(c, r"(\d)\s+([.,%])", "$1$2"), r"([.,])\s+(\d)", "$1$2")
 
 
 def input_text(kind: str, title: Column, description: Column, body: Column) -> Column:
@@ -136,9 +158,10 @@ def prompt(head: Column, items: Column, width: int = 2400) -> Column:
     return F.concat_ws("\n", head, F.array_join(lines, "\n"))
 
 
-def reason(candidates: Column) -> Column:
-    """Scores of candidates as text (SCAL-88)."""
-    return F.array_join(F.transform(candidates, lambda c: F.format_string("%s=%.4f", c["cluster_id"].cast("string"), c["similarity"])), ",")
+def reason(why: Column, candidates: Column) -> Column:
+    """Why an article went where it did, with the scores of its candidates (cluster_id, centroid, prototype, signature) (SCAL-88)."""
+    scores = F.array_join(F.transform(candidates, lambda c: F.format_string("%s:c%.4f/p%.4f/s%.4f", c["cluster_id"].cast("string"), c["centroid"], c["prototype"], c["signature"])), ",")
+    return F.when(F.coalesce(F.size(candidates), F.lit(0)) > 0, F.concat(why, F.lit(" | candidates="), scores)).otherwise(why)
 
 
 def evidence(payloads: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, news, records, relational, retrieval, texts
+from . import aggregates, news, records, relational, retrieval, texts, values
 
-MODULES = (relational, aggregates, texts, retrieval, news, records)
+MODULES = (relational, aggregates, texts, retrieval, news, records, values)
 FLAGSHIP = "hybrid_search"
 
 
