@@ -63,3 +63,16 @@ def test_writers(spark, tmp_path):
     for _ in range(2):
         news.log_failures(df.limit(1), f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 2
+
+
+def test_names_cells_and_reasons(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(news.repair_cell(F.lit("25358 27134 , , 합계"))) == "25,358 27,134 합계" and one(news.repair_cell(F.lit("7 %"))) == "7%"
+    assert one(news.repair_cell(F.lit(None).cast("string"))) is None and one(news.repair_cell(F.lit(""))) == ""
+    assert tuple(one(news.english_name(F.lit("한글 Name")))) == (None, None) and one(news.abbreviations(F.lit("AB; Cd Ef: GH"))) == ["AB", "GH"]
+    assert tuple(one(news.english_name(F.lit(None).cast("string")))) == (None, None)
+    name = lambda t, d: one(news.defined_name(F.lit(t), F.lit(d)))["english"]
+    assert name("용어", "이 용어(Full Name)는") == "Full Name" and name("용어", "용어 (Full Name)") is None and name("", "(Full Name)") is None
+    candidates = F.array(F.struct(F.lit(3).alias("cluster_id"), *[F.lit(0.5).alias(n) for n in ("centroid", "prototype", "signature")]))
+    assert one(news.reason(F.lit("new"), candidates)) == "new | candidates=3:c0.5000/p0.5000/s0.5000"
+    assert one(news.reason(F.lit("new"), F.slice(candidates, 1, 0))) == "new"

@@ -156,3 +156,14 @@ def test_tables(value):
     assert value(text.table_kind("k"), k=["actual", "estimate"]) == "mixed"
     cells = F.array(F.array(F.lit("1,000"), F.lit("2")), F.array(F.lit("a"), F.lit("3%")))
     assert not value(text.narrative_table(cells)) and value(text.narrative_table(F.array(F.array(F.lit("only words"), F.lit("here")))))
+
+
+def test_titles_terms_units_and_signatures(value):
+    assert value(text.is_opinion("t"), t="[사설] 제목") and not value(text.is_opinion("t"), t="광장에서") and not value(text.is_opinion(F.lit(None).cast("string")))
+    assert value(text.term_candidates("t"), t="PER이 뭐야?") == ["PER이", "PER"] and value(text.term_candidates("t"), t="") == []
+    assert value(text.units("t"), t="억원 % 억원 배") == ["억원", "%", "배"] and value(text.units(F.lit(None).cast("string"))) == []
+    assert value(text.column_kinds("h"), h=["2024P", "1Q2025 F", "가이던스", "2024Average"]) == ["estimate", "forecast", "guidance", "unknown"]
+    s = value(text.event_signature("j"), j='{"subject": "a", "action": "b", "object": " c", "amount": ["1", "1"], "identifiers": "2"}')
+    assert tuple(s) == (["a"], "b c", ["1", "2"], "unknown")
+    assert tuple(value(text.event_signature("j"), j="none")) == ([], None, [], "unknown")
+    assert tuple(value(text.event_signature("j"), j='{"core_topic": "t", "story_relation": "reaction"}')) == ([], "t", [], "reaction")
