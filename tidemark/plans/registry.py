@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, flows, news, records, relational, retrieval, texts, values
+from . import aggregates, flows, graphs, news, records, relational, retrieval, texts, values
 
-MODULES = (relational, aggregates, texts, retrieval, news, records, values, flows)
+MODULES = (relational, aggregates, texts, retrieval, news, records, values, flows, graphs)
 FLAGSHIP = "hybrid_search"
 
 

@@ -30,4 +30,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as Parquet in the shared folder, read again."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what written() wrote for df."""
+    spark, path = df.sparkSession, getattr(df, "_written_at", None)
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
