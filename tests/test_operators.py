@@ -277,6 +277,62 @@ def test_cluster_stream_is_the_batch(spark, tmp_path):
     assert {r.article_id: r.cluster_id for r in spark.table("cluster_rows").collect()} == want
 
 
+def test_cluster_stream_goes_on_from_open_clusters(spark, tmp_path):
+    """Stopped after any article and hydrated from the clusters left open, it is as if it had never stopped; in judge mode too."""
+    data, df = articles(spark, n=40)
+    judge = lambda a, c: c[0]["cluster_id"] if a["article_id"] % 2 else None
+    for nth, rules in enumerate((cluster.Rules(threshold=0.74), cluster.Rules(auto_merge=0.95, candidate=0.5))):
+        first, later = df.where("article_id < 23"), df.where("article_id >= 23")
+        later.coalesce(1).write.parquet(f"{tmp_path}/in{nth}")
+        s = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in{nth}")
+        held = cluster.open_clusters(first, rules, judge)
+        spark.createDataFrame(held.collect(), held.schema).write.parquet(f"{tmp_path}/held{nth}")
+        jobs.run_once(jobs.cluster_stream(s, rules, judge, initial=spark.read.parquet(f"{tmp_path}/held{nth}")), f"{tmp_path}/c{nth}", name="resumed_rows")
+        whole = {r.article_id: (r.cluster_id, r.how) for r in cluster.online_clusters(df, rules, judge).collect()}
+        assert {r.article_id: (r.cluster_id, r.how) for r in spark.table("resumed_rows").collect()} == {a: x for a, x in whole.items() if a >= 23}
+
+
+def test_a_stock_that_fails_is_a_row(spark, tmp_path):
+    data, df = articles(spark, n=20)
+
+    def judge(article, found):
+        if article["stock_code"] == "s0":
+            raise ValueError("no answer")
+        return None
+
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    jobs.run_once(jobs.cluster_stream(s, cluster.Rules(auto_merge=1.1, candidate=-1.0), judge), f"{tmp_path}/c", name="failed_rows")
+    got = spark.table("failed_rows").collect()
+    assert [(r.stock_code, r.article_id) for r in got if r.error] == [("s0", None)] and "no answer" in next(r.error for r in got if r.error)
+    assert {r.article_id for r in got if not r.error} == {a for s, a, *_ in data if s == "s1"}
+
+
+def test_silent_stocks_leave_the_state(spark, tmp_path):
+    rows = [("a", 1, 10.0), ("b", 2, 11.0), ("b", 3, 300.0), ("b", 4, 301.0)]
+    for i, part in enumerate((rows[:2], rows[2:3], rows[3:])):
+        spark.createDataFrame([(s, a, t, [1.0, 0.0]) for s, a, t in part], "stock_code string, article_id long, t_hours double, vec array<double>").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = spark.readStream.schema("stock_code string, article_id long, t_hours double, vec array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = jobs.run_once(jobs.cluster_stream(s, cluster.Rules()), f"{tmp_path}/c", name="silent_rows")
+    assert {r.article_id: r.cluster_id for r in spark.table("silent_rows").collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    custom = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert custom[-1] < max(custom) or custom[-1] <= 8
+
+
+def test_a_hot_stock_goes_by_in_batches(spark):
+    """One stock with all articles: the fold sees batches of bounded size and gives what one frame gives."""
+    data, df = articles(spark, n=60)
+    one = df.withColumn("stock_code", F.lit("s0"))
+    want = {r.article_id: r.cluster_id for r in cluster.online_clusters(one, cluster.Rules(threshold=0.74)).collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert {r.article_id: r.cluster_id for r in cluster.online_clusters(one, cluster.Rules(threshold=0.74)).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("mode", ["append", "complete"])
 def test_run_once_leaves_rows_in_files(spark, tmp_path, mode):
     for i in range(3):

@@ -109,7 +109,22 @@ def _articles(spark, d, hours: float = 0.05):
     return table(spark, d, "embeddings").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * hours).alias("t_hours"), vectors.unit("embedding").alias("vec"))
 
 
-@QUERIES.add(None)
+#: Articles one after another: the open clusters of a stock are a list that each step rewrites.
+_FOLD = """
+WITH RECURSIVE a AS (SELECT label AS stock_code, vec_id AS article_id, vec_id * 0.05::DOUBLE AS t, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)),
+r AS (
+  SELECT stock_code, nth, article_id, article_id AS cluster_id, true AS is_new, 1.0::DOUBLE AS similarity, [{'id': article_id, 'c': v, 'n': 1::BIGINT, 'last': t}] AS held FROM a WHERE nth = 1
+  UNION ALL
+  SELECT stock_code, nth, article_id, coalesce(held[best].id, article_id), best IS NULL, coalesce(sims[best], 1.0::DOUBLE),
+         CASE WHEN best IS NULL THEN list_append(held, {'id': article_id, 'c': v, 'n': 1::BIGINT, 'last': t})
+              ELSE list_transform(held, lambda h, i: CASE WHEN i = best THEN {'id': h.id, 'c': list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))), 'n': h.n + 1, 'last': t} ELSE h END) END
+  FROM (SELECT *, list_transform(list_zip(held[coalesce(best, 1)].c, v), lambda x: (x[1] * held[coalesce(best, 1)].n + x[2]) / (held[coalesce(best, 1)].n + 1)) AS m
+        FROM (SELECT *, CASE WHEN list_max(sims) >= 0.25 THEN len(sims) + 1 - list_position(list_reverse(sims), list_max(sims)) END AS best
+              FROM (SELECT a.*, r.held, list_transform(r.held, lambda h: CASE WHEN a.t - h.last <= 24 THEN list_dot_product(h.c, a.v) ELSE -2.0::DOUBLE END) AS sims FROM r JOIN a ON a.stock_code = r.stock_code AND a.nth = r.nth + 1))))
+"""
+
+
+@QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new, round(similarity, 6) AS similarity FROM r")
 def online_clusters(spark, d):
     """Clusters by distance alone (ST-3, 4, 24)."""
     return cluster.online_clusters(_articles(spark, d), cluster.Rules(threshold=0.25)).select("stock_code", "article_id", "cluster_id", "is_new", F.round("similarity", 6).alias("similarity"))
@@ -281,7 +296,20 @@ def stream_merge(spark, d):
     return merge.current(spark, f"{at}/t").select("user_id", "event_id", "event_type")
 
 
-@QUERIES.add(None)
+@QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new FROM r")
+def stream_clusters_resumed(spark, d):
+    """The first half of the articles in batch, the others as a stream that goes on from the clusters left open (ST-1..7, 17, 18)."""
+    at, name, rules = _scratch(spark), "r" + uuid.uuid4().hex, cluster.Rules(threshold=0.25)
+    half = F.broadcast(table(spark, d, "embeddings").agg((F.max("vec_id") / 2).alias("half")))  # one row
+    first = _articles(spark, d).join(half, F.lit(True)).where("article_id <= half").drop("half")
+    rows = _stream(spark, d, "embeddings").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * 0.05).alias("t_hours"), vectors.unit("embedding").alias("vec"))
+    later = rows.join(half, F.lit(True)).where("article_id > half").drop("half")
+    jobs.run_once(jobs.cluster_stream(later, rules, initial=written(cluster.open_clusters(first, rules), "open-clusters")), f"{at}/c", name=name)
+    done = cluster.online_clusters(first, rules).select("stock_code", "article_id", "cluster_id", "is_new")
+    return done.union(spark.table(name).select("stock_code", "article_id", "cluster_id", "is_new"))
+
+
+@QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new FROM r")
 def stream_clusters(spark, d):
     """Online clusters of a stream of vectors, the open ones held as state (ST-1, 17, 18)."""
     at, name = _scratch(spark), "c" + uuid.uuid4().hex

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.cluster import Judge, Rules, State, assign, prune
+from ..operators.cluster import OPEN, Judge, Rules, State, assign, from_rows, prune, to_rows
 from ..operators.merge import current, publish, upsert, version_documents
 from ..ship import ship
 
@@ -75,32 +75,93 @@ def index_batches(folder: str):
     return index
 
 
-def cluster_stream(articles: DataFrame, rules: Rules | None = None, judge: Judge | None = None) -> DataFrame:
-    """Online clusters as a stream: a stock's open clusters are its state, closed ones leave it (ST-1, 17, 18).
+class Assigner(StatefulProcessor):
+    """A stock's open clusters and recent articles as map states, freed by a timer when the stock falls silent."""
+
+    def __init__(self, rules: Rules, judge: Judge | None, stock: str, kind: str):
+        self.rules, self.judge, self.stock, self.kind = rules, judge, stock, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clusters = handle.getMapState("clusters", f"cluster_id {self.kind}", OPEN.format(kind=self.kind).split(", ", 1)[1])
+        self.seen = handle.getMapState("seen", f"article_id {self.kind}", "t_hours double")
+
+    def _held(self) -> State:
+        return from_rows([(*k, *v) for k, v in self.clusters.iterator()])
+
+    def _keep(self, state: State, newest: float) -> None:
+        """Write what is open, forget the rest, and wake when the last of it closes."""
+        rows = {r[0]: r for r in to_rows(state)}
+        for (k,) in list(self.clusters.keys()):
+            if k not in rows:
+                self.clusters.removeKey((k,))
+        for k, r in rows.items():
+            self.clusters.updateValue((k,), tuple(r[1:]))
+        for (k,), (t,) in list(self.seen.iterator()):
+            if newest - t > self.rules.window_hours:
+                self.seen.removeKey((k,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if rows:
+            self.handle.registerTimer(int((newest + self.rules.window_hours + FIRST_HOUR) * 3_600_000) + 1)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        names = [x.split(" ")[0] for x in OPEN.split(", ")]
+        rows = [tuple(r[n] for n in names) for r in initialState.to_dict("records")]
+        self._keep(from_rows(rows), max(r[4] for r in rows))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out, newest = self._held(), [], None
+        rows = pd.concat(list(rows)).sort_values(["t_hours", "article_id"]).to_dict("records")
+        try:
+            new = {}
+            for r in rows:
+                if r["article_id"] in new or self.seen.containsKey((r["article_id"],)):
+                    continue
+                prune(state, self.rules, r["t_hours"])
+                out.append({"stock_code": key[0], "article_id": r["article_id"], **assign(state, self.rules, r, np.asarray(r["vec"], dtype=float), r["t_hours"], self.judge), "error": None})
+                new[r["article_id"]] = newest = r["t_hours"]
+        except Exception as failure:  # noqa: BLE001  one stock's failure is a row; its state stays as it was
+            yield pd.DataFrame([(key[0], *[None] * 6, f"{type(failure).__name__}: {failure}")], columns=ASSIGNED, dtype=object)
+            return
+        for k, t in new.items():
+            self.seen.updateValue((k,), (t,))
+        if new:
+            self._keep(state, newest)
+        yield pd.DataFrame(out, columns=ASSIGNED, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clusters.clear()
+        self.seen.clear()
+        yield pd.DataFrame([], columns=ASSIGNED, dtype=object)
+
+    def close(self) -> None:
+        pass
+
 
-    Rows of a micro-batch are taken in order of time and id; the same fold as
-    in batch.
+#: Hours that event times are ahead of t_hours: the watermark begins at the epoch, and what is not after it is late.
+FIRST_HOUR = 1.0
+ASSIGNED = ["stock_code", "article_id", "cluster_id", "is_new", "similarity", "how", "candidates", "error"]
+
+
+def cluster_stream(articles: DataFrame, rules: Rules | None = None, judge: Judge | None = None, initial: DataFrame | None = None, late: str = "48 hours") -> DataFrame:
+    """Online clusters as a stream: a stock's open clusters are its state, closed ones leave it (ST-1..7, 17, 18).
+
+    articles: as for online_clusters, t_hours in hours since the epoch.
+    initial: open clusters (stock_code, ...OPEN) of a run before, from which
+    the stream goes on as if it had never stopped. Rows of a micro-batch are
+    taken in order of time and id by the same fold as in batch. A stock's
+    failure (its judge's, say) is a row with `error`, and its state stays as
+    it was; other stocks go on. Event-time timers free the state of a stock
+    whose last cluster has closed and which is silent for `late` more.
     """
     rules = rules or Rules()
     ship(articles.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in articles.schema.fields}
-
-    def fold(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, seen = pickle.loads(held.get[0]) if held.exists else (State(), {})
-        rows, out = pd.concat(list(frames)).sort_values(["t_hours", "article_id"]), []
-        for r in rows.to_dict("records"):
-            if r["article_id"] in seen:
-                continue
-            prune(state, rules, r["t_hours"])
-            out.append({"stock_code": key[0], "article_id": r["article_id"], **assign(state, rules, r, np.asarray(r["vec"], dtype=float), r["t_hours"], judge)})
-            seen[r["article_id"]] = r["t_hours"]
-        newest = max(seen.values(), default=0.0)
-        seen = {k: t for k, t in seen.items() if newest - t <= rules.window_hours}
-        held.update((pickle.dumps((state, seen)),))
-        yield pd.DataFrame(out, columns=["stock_code", "article_id", "cluster_id", "is_new", "similarity", "how", "candidates"])
-
-    schema = f"stock_code {kinds['stock_code']}, article_id {kinds['article_id']}, cluster_id {kinds['article_id']}, is_new boolean, similarity double, how string, candidates int"
-    return articles.groupBy("stock_code").applyInPandasWithState(fold, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    schema = f"stock_code {kinds['stock_code']}, article_id {kinds['article_id']}, cluster_id {kinds['article_id']}, is_new boolean, similarity double, how string, candidates int, error string"
+    timed = articles.withColumn("ts", F.timestamp_millis(((F.col("t_hours") + FIRST_HOUR) * 3_600_000).cast("long"))).withWatermark("ts", late)
+    known = initial.select("stock_code", *[x.split(" ")[0] for x in OPEN.split(", ")]).groupBy("stock_code") if initial is not None else None
+    return timed.groupBy("stock_code").transformWithStateInPandas(Assigner(rules, judge, kinds["stock_code"], kinds["article_id"]), schema, "Append", "EventTime", known)
 
 
 def retry_stream(attempts: DataFrame, most: int = 3, wait_ms: int = 600_000) -> DataFrame:
@@ -142,8 +203,15 @@ def run_once(stream: DataFrame, checkpoint: str, batch=None, name: str | None =
 
     if not batch:
         stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/{'all' if mode == 'complete' else 0}")
-    q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).foreachBatch(batch or put).start()
-    q.awaitTermination()
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    conf = stream.sparkSession.conf
+    before = conf.get(provider, None)
+    conf.set(provider, rocks)  # what map states and timers need; the session's own setting comes back once the query has read it
+    try:
+        q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).foreachBatch(batch or put).start()
+        q.awaitTermination()
+    finally:
+        conf.set(provider, before) if before else conf.unset(provider)
     if not batch:
         stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(rows).createOrReplaceTempView(name)
     return q
