@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import models, text, vectors
-from ..operators import cluster, merge, metrics, search, state, timeseries, vector_index
+from ..operators import buckets, cluster, merge, metrics, search, state, timeseries, vector_index
 from ..shared import fresh_path, written
-from ..streaming import jobs
+from ..streaming import cycle, jobs
 from .common import Plans, table
 
 QUERIES = Plans()
@@ -293,7 +293,58 @@ def stream_merge(spark, d):
     at = _scratch(spark)
     rows = _stream(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("arrival"))
     jobs.run_once(rows, f"{at}/c", batch=jobs.merge_batches(f"{at}/t", ["user_id"], "arrival"))
-    return merge.current(spark, f"{at}/t").select("user_id", "event_id", "event_type")
+    return buckets.BucketStore(spark, f"{at}/t").read("rows").select("user_id", "event_id", "event_type")
+
+
+def news_stages() -> list[cycle.Stage]:
+    """The stages of a collection cycle over search results (article_id, stock_code, kind, value, ts)."""
+    keys = ["article_id"]
+
+    def collect(batch, read):
+        return {"articles": (batch.select("article_id", "stock_code", "kind", "value", "ts", *[F.lit(None).cast(t).alias(c) for c, t in (("status", "string"), ("relevant", "boolean"), ("role", "string"), ("cluster_id", "string"))], F.lit(0).alias("step")), keys, "step")}
+
+    def of_batch(batch, read):
+        return read("articles").join(batch.select("article_id").distinct(), "article_id")
+
+    def crawl(batch, read):
+        return {"articles": (of_batch(batch, read).withColumn("status", F.when(F.col("kind") == "error", "failed").otherwise("success")).withColumn("step", F.lit(1)), keys, "step")}
+
+    def relevance(batch, read):
+        return {"articles": (of_batch(batch, read).where("status = 'success'").withColumn("relevant", F.col("value") >= 20).withColumn("step", F.lit(2)), keys, "step")}
+
+    def roles(batch, read):
+        return {"articles": (of_batch(batch, read).where("relevant").withColumn("role", F.when(F.col("value") > 90, "context").otherwise("event")).withColumn("step", F.lit(3)), keys, "step")}
+
+    def assign(batch, read):
+        waiting = read("articles").where("role = 'event' AND cluster_id IS NULL")
+        newest = F.lit(batch.agg(F.max("ts")).first()[0])
+        found = cycle.recovery_set(waiting.join(batch.select("article_id").distinct(), "article_id"), waiting, keys, "ts", newest)
+        named = found.withColumn("cluster_id", F.concat_ws(":", "stock_code", F.date_format("ts", "yyyy-MM-dd"))).withColumn("step", F.lit(4))
+        return {"articles": (named.select(*waiting.columns), keys, "step")}
+
+    def summarise(batch, read):
+        members = read("articles").where("cluster_id IS NOT NULL")
+        touched = members.join(of_batch(batch, read).where("cluster_id IS NOT NULL").select("cluster_id").distinct(), "cluster_id")
+        return {"clusters": (touched.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"), F.round(F.sum("value"), 6).alias("total")), ["cluster_id"], "n")}
+
+    return [cycle.Stage("collect", collect), cycle.Stage("crawl", crawl), cycle.Stage("relevance", relevance), cycle.Stage("roles", roles), cycle.Stage("cluster", assign), cycle.Stage("summary", summarise, isolated=True)]
+
+
+@QUERIES.add("""
+WITH a AS (SELECT event_id AS article_id, user_id, ts, value, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events),
+r AS (SELECT *, CASE WHEN status = 'success' THEN value >= 20 END AS relevant FROM a),
+o AS (SELECT *, CASE WHEN relevant THEN CASE WHEN value > 90 THEN 'context' ELSE 'event' END END AS role FROM r),
+c AS (SELECT *, CASE WHEN role = 'event' THEN user_id || ':' || strftime(ts, '%Y-%m-%d') END AS cluster_id FROM o)
+SELECT article_id, status, relevant, role, c.cluster_id, CASE WHEN c.cluster_id IS NOT NULL THEN count(*) OVER (PARTITION BY c.cluster_id) END AS members FROM c""")
+def stream_cycle(spark, d):
+    """Search results through all stages of a cycle, batch by batch, each committed with the ledger: the final articles and the sizes of their clusters (ST-12, 16, 25, 32, SNK-30)."""
+    at = _scratch(spark)
+    rows = _stream(spark, d, "events").select(F.col("event_id").alias("article_id"), F.col("user_id").alias("stock_code"), F.col("event_type").alias("kind"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    store = buckets.BucketStore(spark, f"{at}/t", 8)
+    jobs.run_once(rows, f"{at}/c", batch=cycle.cycle(store, news_stages()))
+    now = store.snapshot()
+    sizes = store.read("clusters", now).select("cluster_id", F.col("n").alias("members"))
+    return store.read("articles", now).join(sizes, "cluster_id", "left").select("article_id", "status", "relevant", "role", "cluster_id", "members")
 
 
 @QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new FROM r")

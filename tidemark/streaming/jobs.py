@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.buckets import BucketStore
 from ..operators.cluster import OPEN, Judge, Rules, State, assign, from_rows, prune, to_rows
-from ..operators.merge import current, publish, upsert, version_documents
+from ..operators.merge import current, publish, version_documents
 from ..ship import ship
 
 
@@ -44,17 +45,17 @@ def split_late(batch: DataFrame, newest, late: str = "48 hours") -> tuple[DataFr
     return batch.where(F.col("ts") >= limit), batch.where(F.col("ts") < limit)
 
 
-def merge_batches(folder: str, keys: list[str], arrival: str):
-    """A foreachBatch function: each micro-batch is merged into the published table (SNK-1, ST-14)."""
+def merge_batches(folder: str, keys: list[str], arrival: str, table: str = "rows", buckets: int = 64):
+    """A foreachBatch function: each micro-batch is merged into the buckets of a published table that it touches (SNK-1, ST-14).
+
+    A batch that comes again, since its run was killed after the switch, is known by its number and left out.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        try:
-            before = current(batch.sparkSession, folder)
-        except Exception as none:  # noqa: BLE001  only a table that was never published
-            if "PATH_NOT_FOUND" not in str(none):
-                raise
-            before = batch.limit(0)
-        publish(upsert(before, batch, keys, arrival), folder)
+        store = BucketStore(batch.sparkSession, folder, buckets)
+        base = store.snapshot()
+        if base.ledger.get("batch", -1) < batch_id:
+            store.switch(base, {table: store.stage(table, batch, keys, arrival, base)}, {"batch": batch_id})
 
     return merge
 
