@@ -45,7 +45,10 @@ def test_cleaning(value):
     assert value(text.strip_tags("t"), t="<b>x</b> &lt;y&gt;<br>z") == "x <y> z"
     assert value(arrow.strip_html("t"), t="<b>x</b> &quot;y&quot; <script>no</script>z") == 'x "y" z'
     assert value(text.sentiment_text("t"), t="# Title\n- **bold** [link](http://x) <i>t</i>") == "Title bold link t"
-    assert value(text.clean_body("t"), t="line one\nx\nline one\nAll rights reserved\n  two  ") == "line one\ntwo"
+    assert value(text.clean_body("t"), t="line one\nx\nline one\nAll rights reserved\n  two  ") == "line one\nAll rights reserved\ntwo"
+    gone = "무단 전재 및 재배포 금지\n저작권자(c) 어디든 금지\n아무개 기자 (a@b.kr)\n제보는 카카오톡 어디\n댓글\n앱에서 읽기"
+    kept = "무단 전재\n재배포 금지\n저작권자\n기자 (전화)\n댓글 3개\n로그인 하기"
+    assert value(text.clean_body("t"), t=f"{gone}\n{kept}") == kept
     assert value(arrow.normalize_content("t"), t="ＡＢＣ　１２") == "ABC 12"
     assert value(text.search_text("a", "b"), a="X\nY", b="") == "x y"
     assert value(text.markup_to_text("t"), t="<?x y?><p>a</p><!-- c --><td>b</td>&lt;") == "a\nb <"

@@ -270,3 +270,12 @@ REPORT_RANK = {"11013": 1, "11012": 2, "11014": 3, "11011": 4}
 BRIEF_OPENINGS = ("쉽게 말해,", "쉽게 말하면,", "이 기사는 ")
 # fixed values: prices of a language model call in dollars per million tokens
 PROMPT_PRICE, COMPLETION_PRICE = 0.15, 0.60
+
+#: Lines of a page that are no part of its body.
+BOILERPLATE = [
+    r"무단\s*전재.*재배포\s*금지",
+    r"저작권자.*금지",
+    r"기자\s*\([^)]*@[^)]*\)",
+    r"제보는\s*카카오톡",
+    r"^(구독하기|기사\s*스크랩|댓글|글자\s*크기|앱에서\s*읽기|로그인)$",
+]

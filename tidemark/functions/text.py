@@ -74,10 +74,10 @@ def sentiment_text(c) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def clean_body(c, boilerplate: str = r"(?i)copyright|all rights reserved|무단\s*전재|재배포\s*금지") -> Column:
-    """Lines trimmed; those under two signs or of boilerplate go; a line stays once, where it first stood."""
+def clean_body(c, boilerplate: list[str] = V.BOILERPLATE) -> Column:
+    """Lines trimmed; those under two signs or with one of the boilerplate patterns go; a line stays once, where it first stood."""
     lines = F.transform(F.split(as_column(c), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.array_join(F.array_distinct(F.filter(lines, lambda x: (F.char_length(x) >= 2) & ~F.rlike(x, F.lit(boilerplate)))), "\n")
+    return F.array_join(F.array_distinct(F.filter(lines, lambda x: (F.char_length(x) >= 2) & ~F.rlike(x, F.lit("|".join(f"(?:{p})" for p in boilerplate))))), "\n")
 
 
 # URLs (SCAL-1, 5, 6, FIL-12) ---------------------------------------------------------------------

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import CHUNK_BLOCK, in_blocks
+
 
 def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, pred, gold, n, n_pred, n_gold, total) from one row per item (by, pred, gold)."""
@@ -110,6 +115,37 @@ def token_frequency(docs: DataFrame, text: Column, share: float = 0.05) -> DataF
     return words.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).where(F.col("df") <= F.col("total") * share).drop("total")
 
 
+def substring_frequency(tokens: DataFrame, docs: DataFrame, text: Column, share: float = 0.05, without: DataFrame | None = None) -> DataFrame:
+    """(token, df): documents that contain a token anywhere, whatever its case, for tokens that at most that share of them contain (AGG-19, SCAL-77).
+
+    tokens: (token, ...), lower-cased and made distinct; without: (token)
+    that are left out, names of stocks say. Blocks of tokens are automatons
+    through which each text goes once; the counts of a part are summed by Spark.
+    """
+    wanted = tokens.select(F.lower("token").alias("query_id")).where("query_id <> ''").distinct()
+    if without is not None:
+        wanted = wanted.join(without.select(F.lower("token").alias("query_id")), "query_id", "left_anti")
+
+    def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        found: Counter = Counter()
+        if asked.num_rows and held.num_rows:
+            automaton = ahocorasick.Automaton()
+            for t in asked["query_id"].to_pylist():
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for t in held["search_text"].to_pylist():
+                found.update({x for _, x in automaton.iter(t.lower())})
+        return pa.table({"token": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    texts = docs.select(F.monotonically_increasing_id().alias("chunk_id"), text.alias("search_text")).where("search_text IS NOT NULL")
+    parts = in_blocks(wanted, texts, CHUNK_BLOCK, count, "token string, n long")
+    total = F.broadcast(docs.agg(F.count("*").alias("total")))  # one row
+    counted = wanted.select(F.col("query_id").alias("token")).join(parts.groupBy("token").agg(F.sum("n").alias("df")), "token", "left")
+    return counted.select("token", F.coalesce("df", F.lit(0)).alias("df")).join(total, F.lit(True)).where(F.col("df") <= F.col("total") * share).drop("total")
+
+
 def split_units(units: DataFrame, shares: dict[str, float]) -> DataFrame:
     """units (stock, unit, rows) with `split`, filled near its shares (AGG-22, 23).
 

@@ -96,6 +96,17 @@ def agg_token_frequency(spark, d):
     return metrics.token_frequency(table(spark, d, "documents"), F.col("text"))
 
 
+@QUERIES.add("""
+WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}'))) AS token FROM benchmark),
+c AS (SELECT token, (SELECT count(*) FROM documents WHERE contains(lower(text), token)) AS df FROM t WHERE token NOT IN (SELECT lower(unnest(string_split(p_name, ' '))) FROM part))
+SELECT token, df FROM c WHERE df <= (SELECT count(*) FROM documents) * 0.05""")
+def agg_substring_frequency(spark, d):
+    """Documents that contain a title's token anywhere, for rare tokens that are no names (AGG-19, SCAL-77)."""
+    tokens = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([0-9A-Za-z가-힣]{2,})"), 1)).alias("token"))
+    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    return metrics.substring_frequency(tokens, table(spark, d, "documents"), F.col("text"), without=names)
+
+
 @QUERIES.add("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def quality_duplicates(spark, d):
     """Keys that occur more than once (AGG-25, 27, 29, 38)."""
