@@ -233,6 +233,55 @@ def test_splits_and_deltas(spark):
     assert rows(metrics.duplicates(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"])) == [(1, 2)]
 
 
+def test_splits_fill_the_largest_deficit(spark):
+    import hashlib
+
+    shares = {"a": 0.6, "b": 0.2, "c": 0.2}
+    data = [(s, f"u{i}", 1 + (i * 7) % 5) for i in range(120) for s in (["hot"] if i % 3 else ["s1", None])]
+    df = spark.createDataFrame(data, "stock string, unit string, rows int").repartition(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9")  # a stock goes by in several batches
+    try:
+        got = {(r.stock, r.unit): r.split for r in metrics.split_units(df, shares).collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = {}
+    for stock in ("hot", "s1", None):
+        units = sorted(((u, n) for s, u, n in data if s == stock), key=lambda x: (-x[1], hashlib.md5(f"42:{x[0]}".encode()).hexdigest(), x[0]))
+        has, total = dict.fromkeys(shares, 0), sum(n for _, n in units)
+        for u, n in units:
+            want[stock, u] = best = max(shares, key=lambda s: total * shares[s] - has[s])
+            has[best] += n
+    assert got == want
+
+
+def test_seeds_take_the_least_used_stock(spark):
+    import hashlib
+    import random
+
+    from tidemark.operators import news
+
+    rng = random.Random(9)
+    data = [(i, rng.choice("aaaaaaabbcd") + str(rng.randrange(2)), rng.choice([1, 1, 3, 7, 30, 60]), rng.random() < 0.3) for i in range(300)] + [(900, "z", 40, None)]
+    got = {}
+    for r in news.seeds(spark.createDataFrame(data, "cluster_id long, stock_code string, article_count int, recent boolean"), 8, largest=50).orderBy("pick").collect():
+        got.setdefault(r.bucket, []).append(r.cluster_id)
+    want = {}
+    for name, low, high in (("1", 1, 1), ("2-4", 2, 4), ("5-19", 5, 19), ("20+", 20, 50)):
+        pool = sorted((c for c in data if low <= c[2] <= high), key=lambda c: (hashlib.md5(f"42:{c[0]}".encode()).hexdigest(), c[0]))
+        recent, older, used, picked = [c for c in pool if c[3]], [c for c in pool if not c[3]], {}, []
+        while len(picked) < 8 and (recent or older):
+            src = recent if (len(picked) % 2 == 0 and recent) or not older else older
+            src.sort(key=lambda c: used.get(c[1], 0))
+            c = src.pop(0)
+            picked.append(c[0])
+            used[c[1]] = used.get(c[1], 0) + 1
+        if picked:
+            want[name] = picked
+    assert got == want
+
+
 # Time and state ------------------------------------------------------------------------------------
 
 

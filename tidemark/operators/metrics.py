@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import CHUNK_BLOCK, in_blocks
 
@@ -146,16 +149,35 @@ def substring_frequency(tokens: DataFrame, docs: DataFrame, text: Column, share:
     return counted.select("token", F.coalesce("df", F.lit(0)).alias("df")).join(total, F.lit(True)).where(F.col("df") <= F.col("total") * share).drop("total")
 
 
-def split_units(units: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """units (stock, unit, rows) with `split`, filled near its shares (AGG-22, 23).
+def split_units(units: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """units (stock, unit, rows) with `split`, filled near its shares by the largest deficit (AGG-22, 23).
 
-    Units go by hash order into cumulative shares of their stock's rows; a
-    unit is never divided, so no key of it leaks into two splits (AGG-24).
+    A stock's units go one after another, the largest first and equal ones in
+    a seeded order, each to the split that lacks most of its share of the
+    stock's rows, the first in `shares` of equal ones. A unit is never
+    divided, so no key of it leaks into two splits (AGG-24). A stock lies
+    sorted in one partition and goes by in batches; only what its splits have
+    is carried along. Null stocks are a stock, null units a unit.
     """
-    w = Window.partitionBy("stock").orderBy(F.xxhash64("unit"), "unit")
-    middle = (F.sum("rows").over(w) - F.col("rows") / 2) / F.sum("rows").over(Window.partitionBy("stock"))
-    out, limit, names = None, 0.0, list(shares)
-    for name in names[:-1]:
-        limit += shares[name]
-        out = F.when(middle < limit, name) if out is None else out.when(middle < limit, name)
-    return units.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1]))
+    names = list(shares)
+    totals = units.groupBy(F.col("stock").alias("__stock")).agg(F.sum("rows").alias("__total"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("unit").cast("string")).cast("binary"))
+    known = units.join(totals, F.col("stock").eqNullSafe(F.col("__stock"))).drop("__stock").withColumn("__order", order)
+    schema = T.StructType([*units.schema.fields, T.StructField("split", T.StringType())])
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, has = object(), []
+        for frame in frames:
+            splits = []
+            for stock, n, total in zip(frame["stock"].tolist(), frame["rows"].tolist(), frame["__total"].tolist(), strict=True):
+                stock = None if stock != stock else stock
+                if stock != at:
+                    at, has = stock, [0] * len(names)
+                lacks = [total * shares[s] - h for s, h in zip(names, has, strict=True)]
+                best = lacks.index(max(lacks))
+                has[best] += n
+                splits.append(names[best])
+            yield frame.drop(columns=["__total", "__order"]).assign(split=splits)
+
+    return known.repartition("stock").sortWithinPartitions("stock", F.desc("rows"), "__order", "unit").mapInPandas(fill, schema)
+

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,11 +83,46 @@ def needle_cluster(members: DataFrame, needle: str) -> DataFrame:
     return n.groupBy("stock_code").agg(F.max_by("cluster_id", F.struct("n", "cluster_id")).alias("cluster_id"))
 
 
-def seeds(clusters: DataFrame, per_bucket: int, seed: int = 42) -> DataFrame:
-    """Clusters sampled evenly over sizes and recency, in an order of hashes (WIN-17, 21)."""
-    bucket = F.when(F.col("article_count") == 1, "1").when(F.col("article_count") < 5, "2-4").when(F.col("article_count") < 20, "5-19").otherwise("20+")
-    w = Window.partitionBy("bucket", "recent").orderBy(F.xxhash64(F.lit(seed), "cluster_id"), "cluster_id")
-    return clusters.withColumn("bucket", bucket).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_bucket)
+#: Sizes of clusters of which samples are taken apart: name and least size.
+SIZES = (("20+", 20), ("5-19", 5), ("2-4", 2), ("1", 1))
+
+
+def seeds(clusters: DataFrame, per_bucket: int, seed: int = 42, largest: int | None = None) -> DataFrame:
+    """(cluster_id, bucket, pick): clusters sampled by size, recent and older ones in turn, of the least used stock first (WIN-17, 21).
+
+    clusters: (cluster_id, stock_code, article_count, recent). Of equally used
+    stocks the first in a seeded order of clusters counts; where one of the
+    two runs out the other goes on; `largest` bounds the biggest size.
+
+    Of each bucket and turn only the first per_bucket clusters of the first
+    per_bucket stocks can be picked: with fewer picks than that, one of these
+    stocks is always unused. So a bucket's task has 2 * per_bucket**2 rows at
+    most, whatever the table has.
+    """
+    bucket = F.lit(None).cast("string")
+    for name, least in reversed(SIZES):
+        bucket = F.when(F.col("article_count") >= least, name).otherwise(bucket)
+    pool = clusters.select("cluster_id", "stock_code", F.coalesce("recent", F.lit(False)).alias("recent"), bucket.alias("bucket"), F.md5(F.concat_ws(":", F.lit(seed), "cluster_id").cast("binary")).alias("place"), "article_count").where("bucket IS NOT NULL")
+    if largest is not None:
+        pool = pool.where(F.col("article_count") <= largest)
+    turn = ["bucket", "recent"]
+    own = pool.withColumn("nth", F.row_number().over(Window.partitionBy(*turn, "stock_code").orderBy("place", "cluster_id"))).where(F.col("nth") <= per_bucket)
+    first = own.where("nth = 1").withColumn("of", F.row_number().over(Window.partitionBy(*turn).orderBy("place", "cluster_id"))).where(F.col("of") <= per_bucket)
+    left = own.join(first.select(*turn, "stock_code"), [*turn, "stock_code"], "left_semi")
+    kind = clusters.schema["cluster_id"].dataType.simpleString()
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        waiting = {k: g.sort_values(["place", "cluster_id"]).to_dict("records") for k, g in rows.groupby("recent")}
+        used, picked = Counter(), []
+        while len(picked) < per_bucket and any(waiting.values()):
+            turn = len(picked) % 2 == 0
+            some = waiting.get(turn) or waiting.get(not turn)
+            some.sort(key=lambda r: used[r["stock_code"]])  # stable, and the list keeps that order
+            picked.append(some.pop(0))
+            used[picked[-1]["stock_code"]] += 1
+        return pd.DataFrame([(r["cluster_id"], r["bucket"], i + 1) for i, r in enumerate(picked)], columns=["cluster_id", "bucket", "pick"])
+
+    return left.groupBy("bucket").applyInPandas(pick, f"cluster_id {kind}, bucket string, pick int")
 
 
 def spread(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:

@@ -199,7 +199,16 @@ def latest_reports(spark, d):
     return timeseries.latest_report(r, ["l_suppkey"], "report_year", "report_code", V.REPORT_RANK)
 
 
-@QUERIES.add(None)
+@QUERIES.add("""
+WITH RECURSIVE u AS (SELECT sha256(text) AS unit, min(source) AS stock, count(*) AS rows FROM documents GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY stock ORDER BY rows DESC, md5('42:' || unit), unit) AS nth, CAST(sum(rows) OVER (PARTITION BY stock) AS DOUBLE) AS total FROM u),
+r AS (
+  SELECT DISTINCT stock, 0::BIGINT AS nth, ''::VARCHAR AS unit, 0::BIGINT AS rows, ''::VARCHAR AS split, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c FROM o
+  UNION ALL
+  SELECT stock, nth, unit, rows, split, a + CASE split WHEN 'development' THEN rows ELSE 0 END, b + CASE split WHEN 'validation' THEN rows ELSE 0 END, c + CASE split WHEN 'test' THEN rows ELSE 0 END
+  FROM (SELECT o.stock, o.nth, o.unit, o.rows, a, b, c, CASE WHEN total * 0.6::DOUBLE - a >= greatest(total * 0.2::DOUBLE - b, total * 0.2::DOUBLE - c) THEN 'development' WHEN total * 0.2::DOUBLE - b >= total * 0.2::DOUBLE - c THEN 'validation' ELSE 'test' END AS split
+        FROM r JOIN o ON o.stock = r.stock AND o.nth = r.nth + 1))
+SELECT unit, stock, rows, split FROM r WHERE nth > 0""")
 def agg_group_splits(spark, d):
     """Documents in splits near 60/20/20 by source, texts that are the same together (AGG-22..24)."""
     u = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("unit")).agg(F.min("source").alias("stock"), F.count("*").alias("rows"))

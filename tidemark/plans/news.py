@@ -57,6 +57,13 @@ def spread_sample(spark, d):
     return news.spread(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 5)
 
 
+@QUERIES.add(None)
+def seed_clusters(spark, d):
+    """Documents as clusters of their lines, sampled by size and recency, the least used source first (WIN-17); tests hold it against a plain version."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return news.seeds(docs.select(F.col("doc_id").alias("cluster_id"), F.col("source").alias("stock_code"), F.size(F.split("text", "\n")).alias("article_count"), (F.col("doc_id") % 3 == 0).alias("recent")), 12)
+
+
 @QUERIES.add("""
 SELECT lang AS stock_code, arg_max(source, struct_pack(n := n, s := source)) AS cluster_id FROM (SELECT lang, source, count(*) AS n FROM documents WHERE contains(text, 'the') GROUP BY 1, 2) GROUP BY 1""")
 def needle_clusters(spark, d):
