@@ -335,7 +335,7 @@ WITH a AS (SELECT event_id AS article_id, user_id, ts, value, CASE WHEN event_ty
 r AS (SELECT *, CASE WHEN status = 'success' THEN value >= 20 END AS relevant FROM a),
 o AS (SELECT *, CASE WHEN relevant THEN CASE WHEN value > 90 THEN 'context' ELSE 'event' END END AS role FROM r),
 c AS (SELECT *, CASE WHEN role = 'event' THEN user_id || ':' || strftime(ts, '%Y-%m-%d') END AS cluster_id FROM o)
-SELECT article_id, status, relevant, role, c.cluster_id, CASE WHEN c.cluster_id IS NOT NULL THEN count(*) OVER (PARTITION BY c.cluster_id) END AS members FROM c""")
+SELECT article_id, status, coalesce(relevant, false) AS relevant, role, c.cluster_id, CASE WHEN c.cluster_id IS NOT NULL THEN count(*) OVER (PARTITION BY c.cluster_id) ELSE 0 END AS members FROM c""")
 def stream_cycle(spark, d):
     """Search results through all stages of a cycle, batch by batch, each committed with the ledger: the final articles and the sizes of their clusters (ST-12, 16, 25, 32, SNK-30)."""
     at = _scratch(spark)
@@ -344,7 +344,7 @@ def stream_cycle(spark, d):
     jobs.run_once(rows, f"{at}/c", batch=cycle.cycle(store, news_stages()))
     now = store.snapshot()
     sizes = store.read("clusters", now).select("cluster_id", F.col("n").alias("members"))
-    return store.read("articles", now).join(sizes, "cluster_id", "left").select("article_id", "status", "relevant", "role", "cluster_id", "members")
+    return store.read("articles", now).join(sizes, "cluster_id", "left").select("article_id", "status", F.coalesce("relevant", F.lit(False)).alias("relevant"), "role", "cluster_id", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 @QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new FROM r")
