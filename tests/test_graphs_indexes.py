@@ -268,3 +268,30 @@ def test_bounds_leave_nothing_out():
             want = {i: arrow.similarity_within(g, grams) for i, g in enumerate(needles.grams)}
             assert got == {i: s for i, s in want.items() if s >= threshold}
     assert blocks.TASKS >= 1
+
+
+def test_fused_search_with_the_trigram_half(spark, tmp_path):
+    """Ranks of both halves and their fusion, by plain loops over a few texts."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}ord" for i in range(30)]
+    texts = [" ".join(rng.choice(words, 14)) for _ in range(40)]
+    asked = [" ".join(texts[3].split()[2:8]), " ".join(texts[9].split()[:7]) + " other", "w1ord w2ord w3ord w4ord", texts[20]]
+    e = rng.normal(size=(25, 8)).round(2)
+    pd.DataFrame({"doc_id": range(40), "source": "s", "text": texts}).to_parquet(f"{tmp_path}/documents.parquet")
+    pd.DataFrame({"item_id": range(4), "text": asked}).to_parquet(f"{tmp_path}/benchmark.parquet")
+    pd.DataFrame({"vec_id": range(25), "label": 0, "embedding": e.tolist()}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in registry.queries()["hybrid_search_trigram"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.rrf_score))
+    ids = [i * 100_000 for i in range(40)]
+    for n, a in enumerate(asked):
+        near = sorted(((-round(float(e[n * 3 % 25] @ e[i * 7 % 25]), 9), c) for i, c in enumerate(ids)))[:24]
+        grams = set(arrow.trigrams(a.lower()))
+        scores = [(a.lower() in t, arrow.similarity_within(grams, arrow.trigrams(t.lower())), c) for t, c in zip(texts, ids, strict=True)]
+        like = sorted(((not x, -s, c) for x, s, c in scores if x or s >= 0.6))[:24]
+        score = collections.Counter()
+        for ranked in ([c for _, c in near], [c for *_, c in like]):
+            for place, c in enumerate(ranked, 1):
+                score[c] += 1 / (50 + place)
+        want = sorted(((-round(s, 9), c) for c, s in score.items()))[:8]
+        assert got[n] == [(c, -s) for s, c in want]

@@ -279,3 +279,43 @@ BOILERPLATE = [
     r"제보는\s*카카오톡",
     r"^(구독하기|기사\s*스크랩|댓글|글자\s*크기|앱에서\s*읽기|로그인)$",
 ]
+
+#: Kinds of major events: own name, name of the request, name as printed.
+MAJOR_EVENTS = (
+    ("default_occurrence", "dfOcr", "부도발생"),
+    ("bond_transfer_decision", "stkrtbdTrfDecsn", "주권 관련 사채권 양도 결정"),
+    ("rehabilitation_filing", "ctrcvsBgrq", "회생절차 개시신청"),
+    ("dissolution_cause", "dsRsOcr", "해산사유 발생"),
+    ("paid_in_capital_increase", "piicDecsn", "유상증자 결정"),
+    ("free_capital_increase", "fricDecsn", "무상증자 결정"),
+    ("paid_free_capital_increase", "pifricDecsn", "유무상증자 결정"),
+    ("capital_reduction", "crDecsn", "감자 결정"),
+    ("creditor_bank_mgmt_start", "bnkMngtPcbg", "채권은행 등의 관리절차 개시"),
+    ("litigation_filed", "lwstLg", "소송 등의 제기"),
+    ("overseas_listing_decision", "ovLstDecsn", "해외 증권시장 주권등 상장 결정"),
+    ("overseas_delisting_decision", "ovDlstDecsn", "해외 증권시장 주권등 상장폐지 결정"),
+    ("overseas_listing", "ovLst", "해외 증권시장 주권등 상장"),
+    ("overseas_delisting", "ovDlst", "해외 증권시장 주권등 상장폐지"),
+    ("convertible_bond_issue", "cvbdIsDecsn", "전환사채권 발행결정"),
+    ("bond_with_warrant_issue", "bdwtIsDecsn", "신주인수권부사채권 발행결정"),
+    ("exchangeable_bond_issue", "exbdIsDecsn", "교환사채권 발행결정"),
+    ("creditor_bank_mgmt_stop", "bnkMngtPcsp", "채권은행 등의 관리절차 중단"),
+    ("contingent_capital_bond_issue", "wdCocobdIsDecsn", "상각형 조건부자본증권 발행결정"),
+    ("asset_transfer_etc_putback", "astInhtrfEtcPtbkOpt", "자산양수도(기타), 풋백옵션"),
+    ("other_corp_stock_transfer", "otcprStkInvscrTrfDecsn", "타법인 주식 및 출자증권 양도결정"),
+    ("tangible_asset_transfer", "tgastTrfDecsn", "유형자산 양도 결정"),
+    ("tangible_asset_acquisition", "tgastInhDecsn", "유형자산 양수 결정"),
+    ("other_corp_stock_acquisition", "otcprStkInvscrInhDecsn", "타법인 주식 및 출자증권 양수결정"),
+    ("business_transfer", "bsnTrfDecsn", "영업양도 결정"),
+    ("business_acquisition", "bsnInhDecsn", "영업양수 결정"),
+    ("treasury_trust_terminate", "tsstkAqTrctrCcDecsn", "자기주식취득 신탁계약 해지 결정"),
+    ("treasury_trust_conclude", "tsstkAqTrctrCnsDecsn", "자기주식취득 신탁계약 체결 결정"),
+    ("treasury_stock_disposal", "tsstkDpDecsn", "자기주식 처분 결정"),
+    ("treasury_stock_acquisition", "tsstkAqDecsn", "자기주식 취득 결정"),
+    ("stock_exchange_transfer", "stkExtrDecsn", "주식교환·이전 결정"),
+    ("division_merger", "cmpDvmgDecsn", "회사분할합병 결정"),
+    ("company_division", "cmpDvDecsn", "회사분할 결정"),
+    ("company_merger", "cmpMgDecsn", "회사합병 결정"),
+    ("bond_acquisition_decision", "stkrtbdInhDecsn", "주권 관련 사채권 양수 결정"),
+    ("business_suspension", "bsnSp", "영업정지"),
+)

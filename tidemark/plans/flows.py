@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import models, text
 from ..operators import merge, news, search
 from ..shared import fresh_path
-from ..sources import files
+from ..sources import files, filings_api
 from .common import Plans, table
 
 QUERIES = Plans()
@@ -65,6 +66,36 @@ def source_api_replies(spark, d):
     return ok.unionByName(r.where("row IS NULL").select("kind", F.lit(False).alias("is_correction")), allowMissingColumns=True)
 
 
+#: Companies that are asked, and what a request (company * 36 + kind) answers first.
+_COMPANIES = 4
+_FIRST = "CASE WHEN x % 7 = 0 THEN '013' WHEN x % 7 = 1 THEN '020' WHEN x % 11 = 2 THEN '800' ELSE '000' END"
+
+
+@QUERIES.add(f"""
+WITH k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{e}')" for i, (e, a, _) in enumerate(V.MAJOR_EVENTS))}) AS k(nth, source_api, event_type)),
+o AS (SELECT o_custkey % {_COMPANIES} AS corp, o_orderkey % 36 AS nth, count(*) AS n FROM orders GROUP BY 1, 2),
+r AS (SELECT c.corp, k.source_api, k.event_type, c.corp * 36 + k.nth AS x, coalesce(o.n, 0) AS n FROM (SELECT unnest(range({_COMPANIES})) AS corp) c CROSS JOIN k LEFT JOIN o ON o.corp = c.corp AND o.nth = k.nth),
+s AS (SELECT *, {_FIRST} AS first FROM r WHERE x % 5 <> 0)
+SELECT CAST(corp AS VARCHAR) AS corp_code, source_api, event_type, CASE WHEN first = '800' THEN 'failed' WHEN first = '013' OR n = 0 THEN 'no_data' ELSE 'success' END AS result_status,
+       CASE WHEN first IN ('000', '020') THEN n ELSE 0 END AS row_count, CASE WHEN first = '020' THEN 2 ELSE 1 END AS attempts, CASE WHEN first IN ('000', '020') THEN n ELSE 0 END AS listed FROM s""")
+def source_major_events(spark, d):
+    """All kinds of major events of some companies through the filing API's source, from the requests that are not done: what each answered, after how many attempts, and the rows that it listed (SRC-6, 14, 15)."""
+    kinds = filings_api.registry(spark)
+    wanted = spark.range(_COMPANIES).withColumnRenamed("id", "corp").join(F.broadcast(kinds), F.lit(True)).withColumn("x", F.col("corp") * 36 + F.col("nth"))  # 36 kinds
+    rows = table(spark, d, "orders").groupBy((F.col("o_custkey") % _COMPANIES).alias("corp"), (F.col("o_orderkey") % 36).alias("nth")).agg(F.sort_array(F.collect_list(F.col("o_orderkey").cast("string"))).alias("filings"))
+    asked = wanted.join(rows, ["corp", "nth"], "left").withColumn("first", F.expr(_FIRST))
+    listed = F.transform(F.coalesce("filings", F.array().cast("array<string>")), lambda f: F.struct(f.alias("rcept_no")))
+    body = lambda status: F.to_json(F.struct(status.alias("status"), F.when(status.isin("000"), listed).alias("list")))
+    replies = asked.select("source_api", F.col("corp").cast("string").alias("corp_code"), F.posexplode(F.when(F.col("first") == "020", F.array(body(F.col("first")), body(F.lit("000")))).otherwise(F.array(body(F.col("first"))))).alias("nth", "body"))
+    folder = fresh_path(spark, "replies")
+    filings_api.write_replies(replies, folder)
+    request = asked.select(F.col("corp").cast("string").alias("corp_code"), "source_api", F.lit("20250101:20251231").alias("request_key"), "x")
+    done = request.where("x % 5 = 0").withColumn("result_status", F.when(F.col("x") % 2 == 0, "success").otherwise("no_data")).unionByName(request.where("x % 5 = 1").withColumn("result_status", F.lit("failed")))
+    got = filings_api.collect(request, done, folder, wait=0.0)
+    by = got.groupBy("corp_code", "source_api").agg(F.max("result_status").alias("result_status"), F.max("row_count").alias("row_count"), F.max("attempts").cast("long").alias("attempts"), F.count("row").alias("listed"))
+    return by.join(F.broadcast(kinds.select("source_api", "event_type")), "source_api").select("corp_code", "source_api", "event_type", "result_status", "row_count", "attempts", "listed")
+
+
 @QUERIES.add("""
 WITH p AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, NOT (starts_with(path, '/en') AND length(host) % 2 = 0) OR (starts_with(path, '/en/1') AND length(host) % 2 = 0) AS allowed FROM p""")

@@ -82,6 +82,14 @@ def lexical_search(spark, d):
     return search.lexical_rank(q.select("query_id", "query_text"), chunks.select("chunk_id", "search_text"), threshold=0.5)
 
 
+@QUERIES.add(None)
+def hybrid_search_trigram(spark, d):
+    """The eight best chunks for every question by fused ranks, whose lexical half has exact substrings first and then trigram-similar texts (WIN-1..4, 9); tests hold it against a plain version."""
+    q, chunks = corpus(spark, d)
+    lexical = search.lexical_rank(q.select("query_id", "query_text"), chunks.select("chunk_id", "search_text"))
+    return search.fuse(search.semantic_rank(q, chunks), lexical, top=8).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
 @QUERIES.add(None)
 def search_with_context(spark, d):
     """Fused hits limited per document, with their neighbours (WIN-10, 11, JOIN-14)."""
