@@ -280,6 +280,33 @@ BOILERPLATE = [
     r"^(구독하기|기사\s*스크랩|댓글|글자\s*크기|앱에서\s*읽기|로그인)$",
 ]
 
+#: Elements that hold an article's text.
+ARTICLE_SELECTORS = [
+    "article",
+    "#articleBody",
+    "#article-body",
+    "#articleBodyContents",
+    "#newsEndContents",
+    "#dic_area",
+    ".article-body",
+    ".article_body",
+    ".article-view-content-div",
+    ".newsct_article",
+    ".news_cnt_detail_wrap",
+    ".story-news.article",
+    ".articletext2",
+    ".detail_editor",
+]
+#: Hosts whose article stands in one known element, hosts of short articles, and addresses of publishers' replies.
+PREFERRED_SELECTORS = {"www.edaily.co.kr": ".news_body", "www.ulsanpress.net": "#article-view-content-div"}
+SHORT_ARTICLE_HOSTS = ("www.bigtanews.co.kr", "www.edaily.co.kr", "www.ulsanpress.net")
+PUBLISHER_REPLIES = {"biz.sbs.co.kr": "https://apis.sbs.co.kr/play-api/1.0/sbs_newsmedia/", "news.cpbc.co.kr": "https://apis.cpbc.co.kr/play-api/1.0/sbs_newsmedia/"}
+#: Marks and fields of article text in the state of a page.
+ELEMENTS_MARK = "Fusion.globalContent="
+ELEMENT_KINDS = ("text", "header", "quote")
+STATE_LIST = "contentArrange"
+STATE_FIELDS = ("contentArrange", "articleInnerTextContent", "articleContent")
+
 #: Kinds of major events: own name, name of the request, name as printed.
 MAJOR_EVENTS = (
     ("default_occurrence", "dfOcr", "부도발생"),
