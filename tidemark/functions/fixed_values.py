@@ -307,6 +307,11 @@ ELEMENT_KINDS = ("text", "header", "quote")
 STATE_LIST = "contentArrange"
 STATE_FIELDS = ("contentArrange", "articleInnerTextContent", "articleContent")
 
+#: Fonts and sizes of a printed glossary, and the label of related terms.
+TITLE_FONT, TITLE_LATIN_FONT, TITLE_SIZE = "ExtraBold", "DIN-Bold", 12.0
+RELATED_FONT, RELATED_SIZES, RELATED_LABEL = "Dotum", (8.7, 9.6), "연관검색어"
+HEAD_FONT, NUMBER_FONT, LEAST_SIZE = "NanumSquare", "Dinlig", 7.5
+
 #: Kinds of major events: own name, name of the request, name as printed.
 MAJOR_EVENTS = (
     ("default_occurrence", "dfOcr", "부도발생"),
