@@ -312,6 +312,17 @@ TITLE_FONT, TITLE_LATIN_FONT, TITLE_SIZE = "ExtraBold", "DIN-Bold", 12.0
 RELATED_FONT, RELATED_SIZES, RELATED_LABEL = "Dotum", (8.7, 9.6), "연관검색어"
 HEAD_FONT, NUMBER_FONT, LEAST_SIZE = "NanumSquare", "Dinlig", 7.5
 
+#: What tools say beside their rows, or instead of them.
+NO_NEWS = "해당 조건의 뉴스를 찾지 못했습니다."
+NO_FILINGS = "해당 조건의 공시를 찾지 못했습니다."
+NO_VALUES = "해당 조건의 구조화 공시 값을 찾지 못했습니다."
+NO_REPORTS = "해당 조건의 증권사 리포트를 찾지 못했습니다."
+NO_FACTS = "요청한 재무 데이터가 없습니다."
+NO_TERM = "용어를 찾지 못했습니다."
+FORECASTS = "증권사 목표주가·전망은 예측치이며 확정 실적이 아님."
+EXCLUDED = "제외 요청 주제: {}. 이 주제에 해당하는 근거는 답변에서 제외할 것."
+INCLUDED = "포함 요청 주제: {}."
+
 #: Kinds of major events: own name, name of the request, name as printed.
 MAJOR_EVENTS = (
     ("default_occurrence", "dfOcr", "부도발생"),
