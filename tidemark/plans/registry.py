@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, flows, graphs, landed, news, records, relational, retrieval, texts, values
+from . import aggregates, flows, graphs, landed, news, records, relational, retrieval, texts, tools, values
 
-MODULES = (relational, aggregates, texts, retrieval, news, records, values, flows, graphs, landed)
+MODULES = (relational, aggregates, texts, retrieval, news, records, values, flows, graphs, landed, tools)
 FLAGSHIP = "hybrid_search"
 
 
