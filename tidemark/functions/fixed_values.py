@@ -323,6 +323,30 @@ FORECASTS = "증권사 목표주가·전망은 예측치이며 확정 실적이
 EXCLUDED = "제외 요청 주제: {}. 이 주제에 해당하는 근거는 답변에서 제외할 것."
 INCLUDED = "포함 요청 주제: {}."
 
+#: Kinds of company events by what their filings' titles hold, and labels before a value in their texts.
+EVENT_TITLES = (
+    ("shareholders_meeting", ("주주총회소집결의", "주주총회소집공고", "정기주주총회결과")),
+    ("dividend", ("현금ㆍ현물배당", "현금·현물배당")),
+    ("ir", ("기업설명회(IR)",)),
+    ("earnings", ("잠정)실적", "잠정실적")),
+    ("record_date", ("기준일",)),
+    ("book_closure", ("주주명부폐쇄",)),
+)
+EVENT_DATES = {
+    "shareholders_meeting": ("주주총회 예정일", "주주총회일", "개최일시", "일시"),
+    "dividend": ("배당기준일", "배당금지급 예정일자", "지급예정일"),
+    "ir": ("개최일시", "개최 일시", "일시"),
+    "earnings": ("실적공시 예정일", "발표예정일", "예정일"),
+    "record_date": ("기준일",),
+    "book_closure": ("폐쇄기간 시작", "시작일", "기준일"),
+}
+EVENT_ENDS = ("종료일", "폐쇄기간 종료", "종료 예정일")
+EVENT_TIMES = ("개최시간", "개최 시각", "일시", "시간")
+EVENT_PLACES = ("개최장소", "개최 장소", "장소")
+EVENT_DATE = r"(\d{4})\s*[.년/-]\s*(\d{1,2})\s*[.월/-]\s*(\d{1,2})\s*일?"
+EVENT_TIME = r"(\d{1,2})\s*[:시]\s*(\d{1,2})?\s*분?"
+DIVIDEND = r"(?:1주당|주당)\s*(?:현금)?배당금.{0,80}?(-?[\d,]+)\s*원"
+
 #: Kinds of major events: own name, name of the request, name as printed.
 MAJOR_EVENTS = (
     ("default_occurrence", "dfOcr", "부도발생"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import text
 from .merge import keep_first
 from .timeseries import asof_before
@@ -139,3 +140,42 @@ def grade_amount(answer: Column, value: Column) -> Column:
     """An answer holds the amount: its digits, or the head of its shown form (AGG-42)."""
     digits, shown = F.regexp_replace(answer, r"[^\d]", ""), text.format_won(value)
     return digits.contains(F.abs(value).cast("string")) | answer.contains(shown) | answer.contains(F.regexp_extract(shown, r"^-?[\d,.]+", 0))
+
+
+def _after(c: Column, labels: tuple[str, ...], pattern: str, within: int, value) -> Column:
+    """Of the labels in order, the first whose next match within so many signs gives a value; `value` makes it of the groups."""
+    return F.coalesce(*[value(lambda i, x=label: F.regexp_extract(c, rf"(?sU)\Q{x}\E.{{0,{within}}}?{pattern}", i)) for label in labels])
+
+
+def event_type(title: Column) -> Column:
+    """Kind of a company event by the first pattern that a title without blanks holds; else null."""
+    compact = F.regexp_replace(title, r"(?U)\s+", "")
+    return F.coalesce(*[F.when(F.rlike(compact, F.lit("|".join(rf"\Q{p}\E" for p in patterns))), kind) for kind, patterns in V.EVENT_TITLES])
+
+
+def event_rows(rows: DataFrame) -> DataFrame:
+    """Company events of filings: rows with event_type, event_date, event_end_date, start_time, location, amount, status and a map of what was found (SCAL-29).
+
+    rows: (title, raw_text, ...); columns of those names are replaced. Rows
+    whose title names no event go. A label followed by no day of the calendar
+    gives way to the next. A title in brackets is a change; a word of
+    withdrawal in the title or the first 5,000 signs cancels.
+    """
+    made = ("event_type", "event_date", "event_end_date", "start_time", "location", "amount", "status", "normalized")
+    r = rows.drop(*made).withColumns({"title": F.coalesce("title", F.lit("")), "raw_text": F.coalesce("raw_text", F.lit(""))})
+    r = r.withColumn("event_type", event_type(F.col("title"))).where("event_type IS NOT NULL")
+    raw = F.col("raw_text")
+    day = lambda g: F.try_to_timestamp(F.concat_ws("-", g(1), F.lpad(g(2), 2, "0"), F.lpad(g(3), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    minute = lambda g: F.lpad(F.when(g(2) == "", "0").otherwise(g(2)), 2, "0")
+    clock = lambda g: F.when(g(1).try_cast("int").between(0, 23) & minute(g).try_cast("int").between(0, 59), F.concat(F.lpad(g(1), 2, "0"), F.lit(":"), minute(g), F.lit(":00")))
+    begins = F.coalesce(*[F.when(F.col("event_type") == kind, _after(raw, labels, V.EVENT_DATE, 120, day)) for kind, labels in V.EVENT_DATES.items()])
+    place, said = F.lit(None).cast("string"), lambda x: rf"(?U)\Q{x}\E\s*[:：]?\s*([^\n]{{2,240}})"
+    for label in reversed(V.EVENT_PLACES):
+        found = F.regexp_replace(F.regexp_replace(F.regexp_extract(raw, said(label), 1), r"(?U)\s+", " "), "^[ :-]+|[ :-]+$", "")
+        place = F.when(F.rlike(raw, F.lit(said(label))), F.nullif(found, F.lit(""))).otherwise(place)
+    paid = F.when(F.col("event_type") == "dividend", text.amount(F.regexp_extract(raw, "(?sU)" + V.DIVIDEND, 1)))
+    head = F.concat_ws(" ", F.col("title"), F.substring(raw, 1, 5000))
+    status = F.when(head.contains("철회") | head.contains("취소"), "cancelled").when(F.col("title").startswith("["), "changed").otherwise("scheduled")
+    r = r.withColumns({"event_date": begins, "event_end_date": _after(raw, V.EVENT_ENDS, V.EVENT_DATE, 120, day), "start_time": _after(raw, V.EVENT_TIMES, V.EVENT_TIME, 160, clock), "location": place, "amount": paid, "status": status})
+    names = ("event_date", "event_end_date", "start_time", "location", "amount")
+    return r.withColumn("normalized", F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names]), lambda e: e["value"].isNotNull())))

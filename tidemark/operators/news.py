@@ -33,7 +33,7 @@ def event_pairs(links: DataFrame, articles: DataFrame, version: str, since: Colu
     return j if since is None else j.where(F.col("published_at") >= since)
 
 
-def to_summarise(clusters: DataFrame, assignments: DataFrame, articles: DataFrame, version: str, each: int = 5) -> DataFrame:
+def to_summarise(clusters: DataFrame, assignments: DataFrame, articles: DataFrame, version: str, each: int = 12) -> DataFrame:
     """Clusters of a version without a summary, each with its first articles by time of assignment (SRC-38, 39, ST-28)."""
     open_ = clusters.where((F.col("clustering_version") == version) & ~F.coalesce(F.col("summary_status") == "success", F.lit(False))).select("cluster_id")
     w = Window.partitionBy("cluster_id").orderBy("assigned_at", "article_id")

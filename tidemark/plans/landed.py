@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..operators import glossary
+from ..operators import cluster, filings, glossary
 from ..operators.crawl import LEAST, LEAST_SHORT, crawl
+from ..sources import files
 from .common import Plans, table
 
 QUERIES = Plans()
@@ -86,3 +87,59 @@ def glossary_terms(spark, d):
     lines = p.where(key % 11 != 0).select("doc_id", "page", F.concat(name, F.lit(" ..... "), (key % 9000).cast("string")).alias("text"))
     got = glossary.glossary_terms(spans, glossary.contents(lines), 1)
     return got.select("doc_id", "page", "term", "english_name", "definition", F.array_join("aliases", "|").alias("aliases"), F.array_join("related_terms", "|").alias("related_terms"), "source_page")
+
+
+#: A filing by its number: a title, and a text that holds its day (d), hour and place as such filings say them.
+_EVENT_TITLE = "CASE o_orderkey % 8 WHEN 0 THEN '주주총회 소집 결의' WHEN 1 THEN '현금ㆍ현물배당 결정' WHEN 2 THEN '기업설명회(IR) 개최' WHEN 3 THEN '영업(잠정) 실적' WHEN 4 THEN '[기재정정]주주명부폐쇄 기준일' WHEN 5 THEN '기업설명회(IR) 철회' WHEN 6 THEN '기타' ELSE '주주명부폐쇄' END"
+
+
+@QUERIES.add(f"""
+WITH e AS (SELECT *, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 8 <> 6),
+v AS (SELECT o_orderkey, {_EVENT_TITLE} AS title, CASE k WHEN 0 THEN 'shareholders_meeting' WHEN 1 THEN 'dividend' WHEN 3 THEN 'earnings' WHEN 4 THEN 'record_date' WHEN 7 THEN 'book_closure' ELSE 'ir' END AS event_type,
+  day AS event_date, CASE WHEN k = 4 THEN day + 5 END AS event_end_date, CASE WHEN k IN (0, 2, 5) THEN lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || CASE WHEN k = 0 THEN ':00:00' ELSE ':30:00' END END AS start_time,
+  CASE WHEN k = 0 THEN 'hall ' || o_custkey END AS location, CASE WHEN k = 1 THEN CAST(trunc(o_totalprice) AS BIGINT) END AS amount FROM e)
+SELECT o_orderkey, event_type, strftime(event_date, '%Y-%m-%d') AS event_date, strftime(event_end_date, '%Y-%m-%d') AS event_end_date, start_time, location, amount, CASE WHEN contains(title, '철회') THEN 'cancelled' WHEN starts_with(title, '[') THEN 'changed' ELSE 'scheduled' END AS status,
+       CAST((event_end_date IS NOT NULL)::INT + (start_time IS NOT NULL)::INT + (location IS NOT NULL)::INT + (amount IS NOT NULL)::INT + 1 AS BIGINT) AS n_found FROM v""")
+def filing_events(spark, d):
+    """Company events of filings by their titles, with days, hours, places and dividends by labels (SCAL-29)."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_EVENT_TITLE).alias("title"), (F.col("o_orderkey") % 8).alias("k"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").cast("string").alias("corp"), (F.col("o_custkey") % 24).cast("string").alias("hour"), F.format_number(F.col("o_totalprice").cast("long"), 0).alias("paid"))
+    k, words, points = F.col("k"), F.date_format("day", "yyyy'년 'M'월 'd'일'"), F.date_format("day", "yyyy. M. d")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("주주총회 예정일 : "), words, F.lit("\n개최시간 : "), "hour", F.lit(" 시\n개최장소 :  hall   "), "corp", F.lit(" - \n끝")))
+        .when(k == 1, F.concat(F.lit("배당기준일 2023-13-40\n지급예정일 "), points, F.lit("\n1주당 배당금 보통주식 "), "paid", F.lit(" 원")))
+        .when(k.isin(2, 5), F.concat(F.lit("개최일시 "), points, F.lit(" "), "hour", F.lit(":30")))
+        .when(k == 3, F.concat(F.lit("발표예정일 "), words))
+        .when(k == 4, F.concat(F.lit("기준일 "), points, F.lit("\n종료일 "), F.date_format(F.date_add("day", 5), "yyyy/MM/dd")))
+        .otherwise(F.concat(F.lit("시작일 "), points))
+    )
+    got = filings.event_rows(o.select("o_orderkey", "title", raw.alias("raw_text")))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return got.select("o_orderkey", "event_type", text("event_date"), text("event_end_date"), "start_time", "location", "amount", "status", F.size("normalized").cast("long").alias("n_found"))
+
+
+@QUERIES.add("""
+WITH e AS (SELECT vec_id, label, vec_id * 0.05::DOUBLE AS t, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT * FROM e WHERE vec_id % 5 = 0),
+p AS (SELECT a.vec_id AS article_id, c.vec_id AS cluster_id, round(list_dot_product(a.v, c.v), 6) AS sim, ((a.vec_id * 7 + c.vec_id * 3) % 11) / 10.0::DOUBLE AS sig, (a.vec_id + c.vec_id) % 4 AS hits FROM e a JOIN c ON a.label = c.label AND a.t >= c.t AND a.t - c.t <= 6 AND a.vec_id <> c.vec_id),
+s AS (SELECT *, sim >= 0.1 AS v, sig >= 0.55 AND hits >= 2 AS s, round(greatest(sim, sig * 0.92), 6) AS score FROM p),
+r AS (SELECT *, CASE WHEN v THEN row_number() OVER (PARTITION BY article_id, v ORDER BY sim DESC, cluster_id) END AS nv, CASE WHEN s THEN row_number() OVER (PARTITION BY article_id, s ORDER BY sig DESC, cluster_id) END AS ns FROM s WHERE v OR s),
+k AS (SELECT * FROM r WHERE nv <= 2 OR ns = 1), free AS (SELECT * FROM (SELECT r.* FROM r ANTI JOIN k USING (article_id, cluster_id)) f LEFT JOIN (SELECT article_id AS a2, count(*) AS taken FROM k GROUP BY 1) ON a2 = article_id QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, cluster_id) <= 3 - taken),
+o AS (SELECT article_id, cluster_id, score FROM k UNION ALL SELECT article_id, cluster_id, score FROM free)
+SELECT article_id, cluster_id, score, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, cluster_id) AS rank FROM o""")
+def candidate_slots(spark, d):
+    """Candidates of an article: two places by vector, one by signature, free ones by score (WIN-14)."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * 0.05).alias("t_hours"), F.col("embedding").alias("vec"))
+    c = e.where("article_id % 5 = 0").select("stock_code", F.col("article_id").alias("cluster_id"), F.col("t_hours").alias("last_hours"), F.col("vec").alias("centroid"))
+    a, b = F.col("article_id"), F.col("cluster_id")
+    pairs = cluster.near_pairs(e, c, 6.0).where(a != b).select(a, b, F.round("similarity", 6).alias("similarity"), (((a * 7 + b * 3) % 11) / 10.0).alias("signature"), ((a + b) % 4).alias("hits"))
+    return cluster.candidate_slots(pairs, 3, 0.1).select("article_id", "cluster_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@QUERIES.add("""
+SELECT CAST(c_custkey AS VARCHAR) AS stock_code, CASE WHEN s_suppkey IS NULL THEN CASE WHEN c_custkey % 2 = 0 THEN c_name END ELSE s_name END AS corp_code, CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'same' ELSE 'changed' END AS outcome
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def source_code_sync(spark, d):
+    """Which stocks' codes a register changes, confirms or lacks (SRC-10)."""
+    register = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("stock_code"), F.col("s_name").alias("corp_code"), F.col("s_suppkey").alias("c_custkey"))
+    known = table(spark, d, "customer").join(register.select("c_custkey", F.col("corp_code").alias("met")), "c_custkey", "left")
+    stocks = known.select(F.col("c_custkey").cast("string").alias("stock_code"), F.when((F.col("c_custkey") % 3 == 0) & F.col("met").isNotNull(), F.col("met")).when((F.col("c_custkey") % 2 == 0) & F.col("met").isNull(), F.col("c_name")).alias("corp_code"))
+    return files.sync_codes(stocks, register)

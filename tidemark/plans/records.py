@@ -139,7 +139,7 @@ def event_pairs(spark, d):
 
 @QUERIES.add("""
 WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE user_id % 3 <> 0),
-f AS (SELECT * FROM a WHERE nth <= 5)
+f AS (SELECT * FROM a WHERE nth <= 12)
 SELECT user_id AS cluster_id, count(*) AS n, min(event_id) AS lowest, max(event_id) AS highest FROM f GROUP BY 1""")
 def clusters_to_summarise(spark, d):
     """Clusters without a summary, each with its first articles (SRC-38, 39, ST-28)."""

@@ -38,6 +38,18 @@ def corp_codes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("stock_code").alias("stock_code"), F.trim("corp_code").alias("corp_code"), F.trim("corp_name").alias("corp_name")).where(F.rlike("stock_code", F.lit(r"^\d{6}$")))
 
 
+def sync_codes(stocks: DataFrame, register: DataFrame) -> DataFrame:
+    """(stock_code, corp_code, outcome): what a register says of stocks: changed (to be written), same, or missing (SRC-10).
+
+    stocks and register: (stock_code, corp_code); of codes that a register
+    gives twice the greatest counts. A stock without a code is missing.
+    """
+    known = register.where("stock_code IS NOT NULL").groupBy("stock_code").agg(F.max("corp_code").alias("found"))
+    met = stocks.select("stock_code", "corp_code").join(known, "stock_code", "left")
+    outcome = F.when(F.coalesce("found", F.lit("")) == "", "missing").when(F.equal_null("found", "corp_code"), "same").otherwise("changed")
+    return met.select("stock_code", F.coalesce(F.nullif("found", F.lit("")), "corp_code").alias("corp_code"), outcome.alias("outcome"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, member, content) of ZIP files; another payload is one row with a null member and its bytes (SRC-7)."""
     ship(spark)
