@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrow, models, text, vectors
+from tidemark.functions import arrow, models, pages, text, vectors
 from tidemark.ship import ship
 
 
@@ -126,10 +126,9 @@ def test_chunks():
 
 def test_pages(value):
     page = '<html><head><title> T </title><meta property="og:image" content="/i.png"><link rel="amphtml" href="http://a/amp"><meta http-equiv="refresh" content="0; url=/next"><script type="application/ld+json">{"x":[{"articleBody":"the body"}]}</script></head><body><p>one</p><p>two</p></body></html>'
-    assert value(arrow.page_title("h"), h=page) == "T"
-    assert value(arrow.absolute_url(F.lit("https://s.com/a"), arrow.page_link("h", "image")), h=page) == "https://s.com/i.png"
-    assert value(arrow.page_link("h", "amp"), h=page) == "http://a/amp" and value(arrow.page_link("h", "refresh"), h=page) == "/next"
-    assert value(arrow.script_body("h"), h=page) == "the body" and value(text.clean_body(arrow.page_text("h")), h=page).split("\n")[-2:] == ["one", "two"]
+    got = value(pages.found(F.lit("https://s.com/a"), "h"), h=page)
+    assert (got.title, got.image, got.amp, got.refresh) == ("T", "https://s.com/i.png", "http://a/amp", "https://s.com/next")
+    assert value(pages.best_body(pages.found(F.lit("https://s.com/a"), "h")), h=page) == "the body" and value(text.clean_body(arrow.page_text("h")), h=page).split("\n")[-2:] == ["one", "two"]
 
 
 def test_vectors_and_models(value, spark):

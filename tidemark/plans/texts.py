@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, text
 from ..functions import fixed_values as V
+from ..functions import pages as page
 from ..operators import merge, state
 from ..ship import ship
 from .common import Plans, table
@@ -55,13 +56,10 @@ def text_page_titles(spark, d):
 
 @QUERIES.add(None)
 def text_page_bodies(spark, d):
-    """Title, links and the longest body that the extractors find (SRC-3, 5, SCAL-31..37)."""
-    ship(spark)
-    body = lambda c: F.nullif(text.clean_body(c), F.lit(""))
-    p = table(spark, d, "pages").select("page_id", "url", arrow.page_title("html").alias("title"), arrow.absolute_url("url", arrow.page_link("html", "image")).alias("image"), arrow.absolute_url("url", arrow.page_link("html", "amp")).alias("amp"), arrow.page_text("html").alias("t"), arrow.script_body("html").alias("s"))
-    both = F.filter(F.array(body("t"), body("s")), lambda x: x.isNotNull())
-    best = F.array_max(F.transform(both, lambda x, i: F.struct(F.char_length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
-    return p.select("page_id", "title", "image", "amp", best.alias("body"), (F.char_length(best) >= 250).alias("enough"))
+    """Title, links and the body that the extractors find, from one tree a page (SCAL-31..37)."""
+    p = table(spark, d, "pages").select("page_id", page.found("url", "html").alias("f"))
+    body = F.nullif(page.best_body(F.col("f")), F.lit(""))
+    return p.select("page_id", "f.title", "f.image", "f.amp", body.alias("body"), (F.char_length(body) >= 250).alias("enough"))
 
 
 @QUERIES.add("""
