@@ -53,7 +53,7 @@ def page_crawl(spark, d):
     page = lambda url, status, body: F.struct(url.alias("url"), status.alias("status"), F.lit("text/html").alias("content_type"), body.alias("html"))
     both = F.array(page(F.col("url"), F.when(k == 9, 404).otherwise(200), html), page(F.concat(other, F.col("doc_id").cast("string")), F.lit(200), article))
     pages = docs.where("doc_id % 20 <> 19").select(F.inline(both))
-    rules = docs.where("k = 8").select(F.lit("news.example.com").alias("host"), F.lit("/closed/").alias("prefix"), F.lit(False).alias("allow")).distinct()
+    rules = docs.where("k = 8").select(F.regexp_extract("url", "^https://([^/]+)", 1).alias("host"), F.lit("/closed/").alias("prefix"), F.lit(False).alias("allow")).distinct()
     replies = docs.where("k = 6").select(F.concat(F.lit(V.PUBLISHER_REPLIES[_REPLIER]), F.col("doc_id").cast("string")).alias("url"), F.to_json(F.struct(F.struct(F.struct(said.alias("contentdata")).alias("info")).alias("clip"))).alias("body"))
     got = crawl(docs.select("doc_id", "url"), pages, rules, replies)
     return got.select("doc_id", "outcome", "error", "final_url", F.sha2("body", 256).alias("body_hash"))
