@@ -98,3 +98,21 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_no_query_crosses_rows(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan, name
+
+
+def test_values_that_round_or_divide_apart_are_as_in_sql(spark, tmp_path):
+    day, us = pd.Timestamp("2024-01-01"), lambda x: pd.to_datetime(pd.Series(x)).astype("datetime64[us]")
+    pairs = [(0.0, 5.0), (0.0, 0.0), (0.0, -5.0), (40.0, 0.09), (40.0, 0.39), (80.0, 5.03), (8.0, 0.01)]
+    events = [(2 * i + j, day + pd.Timedelta(days=j), i, v) for i, pair in enumerate(pairs) for j, v in enumerate(pair)]
+    # Gaps of an hour, a microsecond more, and half a second more that whole seconds don't show.
+    at = [pd.Timedelta(0), pd.Timedelta(hours=1), pd.Timedelta(hours=2, microseconds=1), pd.Timedelta(hours=3, microseconds=500_001)]
+    events += [(100 + i, day + t, 99, 1.0) for i, t in enumerate(at)]
+    ids, ts, users, values = zip(*events)
+    pd.DataFrame({"event_id": ids, "ts": us(ts), "user_id": users, "event_type": "view", "value": values, "props": "{}"}).to_parquet(f"{tmp_path}/events.parquet")
+    prices = [100_000 + 5_000 * i for i in range(40)] + [1e9 + 5e6 * i for i in range(40)] + [115_000.01, 999_999_999.99, 99_999.99]
+    pd.DataFrame({"o_orderkey": range(len(prices)), "o_totalprice": [float(p) for p in prices]}).to_parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    for name in ("activity_sessions",):
+        pd.testing.assert_frame_equal(plain(registry.queries()[name](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.oracle_sql()[name]).df()))

@@ -45,10 +45,10 @@ def link_corrections(filings: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, by: list[str], at: str, gap_seconds: int) -> DataFrame:
-    """events with `session`, a number that grows after gaps longer than that."""
+    """events with `session`, a number that grows after gaps longer than that, by the microsecond."""
     w = Window.partitionBy(*by).orderBy(at, *[c for c in events.columns if c not in (*by, at)][:1])
-    gap = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(w).cast("timestamp"))
-    return events.withColumn("__new", F.when(gap <= gap_seconds, 0).otherwise(1)).withColumn("session", F.sum("__new").over(w)).drop("__new")
+    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
+    return events.withColumn("__new", F.when(gap <= gap_seconds * 1_000_000, 0).otherwise(1)).withColumn("session", F.sum("__new").over(w)).drop("__new")
 
 
 def latest_report(rows: DataFrame, by: list[str], year: str, code: str, ranks: dict[str, int]) -> DataFrame:
