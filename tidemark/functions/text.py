@@ -325,10 +325,24 @@ def event_signature(raw) -> Column:
 # Formats (SCAL-54, 55, 70, 71, 92, 93) ------------------------------------------------------------
 
 
+def _printed(x: Column, digits: int) -> Column:
+    """A number from 1 to 2^43 with one or two digits behind the point, as C prints it: by its exact binary value, halves to even.
+
+    Java's formatter rounds the shortest decimal instead, so its 1.15 becomes
+    1.2. Behind the point there are 52 bits at most, which a long holds.
+    """
+    whole = F.floor(x)
+    scaled = ((x - whole) * float(2**52)).cast("bigint") * 10**digits
+    down, rest = F.shiftright(scaled, 52), scaled.bitwiseAND(F.lit(2**52 - 1))
+    up = (rest > 2**51) | ((rest == 2**51) & (down % 2 == 1))
+    n = whole * 10**digits + down + up.cast("bigint")
+    return F.concat(((n - n % 10**digits) / 10**digits).cast("bigint").cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+
 def format_won(value) -> Column:
     v = as_column(value).cast("bigint")
     n, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
-    return F.when(n >= 10**12, F.concat(sign, F.format_string("%.2f조원", n / 1e12))).when(n >= 10**8, F.concat(sign, F.format_string("%.1f억원", n / 1e8))).otherwise(F.concat(F.format_number(v, 0), F.lit("원")))
+    return F.when(n >= 10**12, F.concat(sign, _printed(n / 1e12, 2), F.lit("조원"))).when(n >= 10**8, F.concat(sign, _printed(n / 1e8, 1), F.lit("억원"))).otherwise(F.concat(F.format_number(v, 0), F.lit("원")))
 
 
 def format_won_eok(value) -> Column:
