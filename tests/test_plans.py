@@ -114,5 +114,5 @@ def test_values_that_round_or_divide_apart_are_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     for t in ("events", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
-    for name in ("activity_sessions", "text_money"):
+    for name in ("activity_sessions", "text_money", "market_overview", "price_changes"):
         pd.testing.assert_frame_equal(plain(registry.queries()[name](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.oracle_sql()[name]).df()))

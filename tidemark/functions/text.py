@@ -355,8 +355,9 @@ def format_won_eok(value) -> Column:
 
 
 def change_rate(now, before) -> Column:
+    """Change in percent with two digits, null without a value before or from zero; halves of the scaled double go away from zero."""
     now, before = as_column(now), as_column(before)
-    return F.when(before != 0, F.round((now - before) / before * 100, 2))
+    return F.when(before != 0, F.round((now - before) / before * 100 * 100) / 100)
 
 
 def half_hour(ts) -> Column:
