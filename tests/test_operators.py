@@ -123,6 +123,27 @@ def test_terms(spark):
     assert rows(search.lookup_terms(c, terms)) == [(1, 1, 1), (2, 3, 2), (3, 1, 3)]
 
 
+def test_terms_that_repeat_make_no_pairs(spark):
+    n = 4000  # each stage would pair n / 4 questions with n terms or more
+    kind = F.element_at(F.array(F.lit("Same Name"), F.lit("nick"), F.lit("e nam"), F.lit("none")), (F.col("id") % 4 + 1).cast("int"))
+    c = spark.range(n).select(F.col("id").alias("query_id"), F.posexplode(F.array(kind, F.lit("zzz"))).alias("nth", "candidate"))
+    terms = spark.range(n).select((F.col("id") + 5).alias("term_id"), F.lit("same name").alias("term"), F.array(F.lit("Nick"), F.lit("same name")).alias("aliases"))
+    found = search.lookup_terms(c, terms)
+    assert rows(found) == sorted((i, 5, i % 4 + 1) for i in range(n) if i % 4 < 3)
+
+    counted = found.agg(F.count("*"))
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan()
+    inner = lambda x: x.executedPlan() if x.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else x.plan() if x.getClass().getSimpleName().endswith("QueryStageExec") else None
+
+    def walk(x):
+        own = [x.metrics().apply("numOutputRows").value()] if x.metrics().contains("numOutputRows") else []
+        below = [inner(x)] if inner(x) is not None else [x.children().apply(i) for i in range(x.children().size())]
+        return max([*own, *[walk(b) for b in below]], default=0)
+
+    assert 0 < walk(plan) <= 20 * n
+
+
 # Clusters -----------------------------------------------------------------------------------------
 
 
