@@ -666,3 +666,24 @@ def test_secret_query_digest(spark):
         base = brute_secrets(t)
         assert got.base_sha256[i] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert got.n_hex[i] == sum(k == "hex" for k, _, _ in base)
+
+
+def test_simhash_never_broadcasts_fingerprints(spark, monkeypatch):
+    from tidemark.llm import common
+
+    plans = []
+
+    def recorded(df, tag):
+        df.collect()
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, tag)
+
+    cut = common.cut
+    monkeypatch.setattr(common, "cut", recorded)
+    monkeypatch.setattr(simhash, "cut", recorded)
+    texts = [f"one two three four five six seven eight nine ten {i // 3} " * 4 + "x" * (i % 3) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    recorded(simhash.drop_near_duplicates(docs), "kept")
+    recorded(simhash.near_duplicates(docs), "classes")
+    assert {"simhash-links", "kept", "classes"} <= {t for t, _ in plans}
+    assert not [t for t, p in plans if "BroadcastExchange" in p]

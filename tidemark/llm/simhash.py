@@ -103,7 +103,7 @@ def links(fps: DataFrame) -> DataFrame:
     for i in range(len(WIDTHS)):
         chain = chain | ((F.col("start") == i) & chain_holds(a, b, i))
     # A pair with equal keys meets once (a > b); one that differs by a bit meets from either side.
-    found = own.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & ((b < a) | ~F.col("b_own") & (b != a)) & chain & (F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    found = own.hint("merge").alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & ((b < a) | ~F.col("b_own") & (b != a)) & chain & (F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return found if close is None else found.union(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None, root: str |
 
     Documents link when their fingerprints differ in MOST_BITS bits or fewer;
     texts without words have fingerprint 0 and link like any other. Equal
-    fingerprints are grouped first, so that copies make no pairs. A null
+    fingerprints are grouped first, so that copies make no pairs. Tables of
+    fingerprints grow with docs, so they are merged, never broadcast. A null
     doc_id takes part; its rows get the smallest doc_id of their component,
     null if there is none. Rows that repeat a doc_id are compared by their own
     texts. Columns pass through (only those of `carry`, if it is given); those
@@ -126,10 +127,10 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None, root: str |
     marked = cut(marked, "simhash-docs")  # fingerprints are computed once
     fps = cut(marked.select("fp", "id").groupBy("fp").agg(F.min("id").alias("low")), "simhash-fps")
     comps = components(links(fps.select("fp")), "simhash-links")
-    by_fp = fps.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    by_fp = fps.join(comps.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = by_fp.select("fp", "root").join(lowest, "root").select("fp", "component_id", "root")
-    return unpack(marked.join(classes, "fp"), names, {"fingerprint": F.col("fp"), "component_id": F.col("component_id")} | ({root: F.col("root")} if root else {}))
+    classes = by_fp.select("fp", "root").join(lowest.hint("merge"), "root").select("fp", "component_id", "root")
+    return unpack(marked.join(classes.hint("merge"), "fp"), names, {"fingerprint": F.col("fp"), "component_id": F.col("component_id")} | ({root: F.col("root")} if root else {}))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -150,5 +151,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = pack(docs, [F.coalesce("doc_id", F.lit(0)).alias("stay_id"), F.col("doc_id").isNull().alias("stay_null"), th.alias("stay_th")])
     keys = ["stay_id", "stay_null", "stay_th"]
     order = F.to_json(F.struct(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(names) if c.lower() != "text"]))
-    one = keyed.join(first.distinct(), keys, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1")
+    one = keyed.join(first.distinct().hint("merge"), keys, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1")
     return one.select(*[F.col("row")[c].alias(c) for c in names])
