@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.functions import arrow
@@ -295,3 +296,20 @@ def test_fused_search_with_the_trigram_half(spark, tmp_path):
                 score[c] += 1 / (50 + place)
         want = sorted(((-round(s, 9), c) for c, s in score.items()))[:8]
         assert got[n] == [(c, -s) for s, c in want]
+
+
+def test_blocks_copy_rows_no_oftener_than_their_label_needs(spark, monkeypatch):
+    dealt, met = [], blocks.met
+    monkeypatch.setattr(blocks, "met", lambda one, two, keys, fn, schema: dealt.append((one.count(), two.count())) or met(one, two, keys, fn, schema))
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 16)
+    rows = spark.range(67).selectExpr("id", "CASE WHEN id < 64 THEN id % 4 END AS label")
+
+    def pairs(q, c):
+        i, j = q["query_id"].to_numpy(), c["chunk_id"].to_numpy()
+        return pa.table({"a": np.repeat(i, len(j)), "b": np.tile(j, len(i))})
+
+    for few in (10_000, 2):  # numbers of blocks broadcast, and merged
+        monkeypatch.setattr(blocks, "FEW_VALUES", few, raising=False)
+        got = blocks.in_blocks(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id"), 8, pairs, "a long, b long", ["label"])
+        assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(64) for b in range(64) if a % 4 == b % 4]
+    assert dealt == [(64, 128)] * 2  # 16 rows a label: one block of questions, two parts of chunks
