@@ -152,6 +152,17 @@ def test_vectors_and_models(value, spark):
     assert [(r.t, r.n) for r in got] == [("a", 1), ("bad", None), ("ccc", 3)]
 
 
+def test_models_get_one_batch_as_values_and_leave_other_columns_alone(spark):
+    def seen():
+        return lambda xs: [f"{len(xs)} {type(xs[-1]).__name__}" for _ in xs]
+
+    rows = spark.range(0, 1201, 1, 1).selectExpr("CASE WHEN id % 100 < 99 THEN id END AS x", "TIMESTAMP '9999-12-31 00:00:00' AS far")
+    got = models.apply_model(rows, "x", seen, "said", "string", batch=100)
+    # A null stays one among whole numbers, and a time that pandas can't hold passes by.
+    assert {r.said for r in got.select("said").collect()} == {"100 NoneType", "1 int"}
+    assert got.where("far = TIMESTAMP '9999-12-31 00:00:00'").count() == 1201
+
+
 def test_tables(value):
     kinds = value(text.column_kinds("h"), h=["2023A", "2024E", "2025F", "x"])
     assert kinds == ["actual", "estimate", "forecast", "unknown"]

@@ -5,28 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..ship import ship
 from .vectors import as_column
 
 LABELS = ("positive", "neutral", "negative")
+#: Rows that are given back together.
+ROWS_OUT = 512
 
 
 def apply_model(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], result: str, schema: str, batch: int = 32) -> DataFrame:
     """df with `result`: what the model says of the column, in batches; the model is made once per task.
 
     A batch that fails is tried row by row, and a row that fails has null, so
-    that one bad row does not lose its neighbours.
+    that one bad row does not lose its neighbours. Rows stay as Arrow holds
+    them: only one batch of the column at a time becomes Python's values.
     """
     ship(df.sparkSession)
     kind = df.schema
     out = type(kind)(list(kind.fields)).add(result, T.DataType.fromDDL(schema))
+    at, names, made = df.columns.index(column), out.names, to_arrow_type(out[result].dataType)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
 
         def one(x):
@@ -35,17 +40,19 @@ def apply_model(df: DataFrame, column: str, make: Callable[[], Callable[[list],
             except Exception:  # noqa: BLE001  the row's own failure
                 return None
 
-        for frame in frames:
-            said: list = []
-            for lo in range(0, len(frame), batch):
-                part = frame[column].iloc[lo : lo + batch].tolist()
-                try:
-                    said += model(part)
-                except Exception:  # noqa: BLE001
-                    said += [one(x) for x in part]
-            yield frame.assign(**{result: said})
-
-    return df.mapInPandas(run, out)
+        for b in batches:
+            for lo in range(0, b.num_rows, some):
+                rows, said = b.slice(lo, some), []
+                for begin in range(0, rows.num_rows, batch):
+                    part = rows.column(at).slice(begin, batch).to_pylist()
+                    try:
+                        said += model(part)
+                    except Exception:  # noqa: BLE001
+                        said += [one(x) for x in part]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, made, from_pandas=True)], names=names)
+
+    some = batch * max(1, ROWS_OUT // batch)  # of an Arrow batch, given back together
+    return df.mapInArrow(run, out)
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list], list]:
