@@ -271,6 +271,17 @@ def test_bounds_leave_nothing_out():
     assert blocks.TASKS >= 1
 
 
+def test_few_queries_meet_all_texts_without_lists(spark, monkeypatch):
+    """The same pairs as through the lists, null and empty texts and queries without a trigram among them, and no list is made for so few queries."""
+    monkeypatch.setattr(trigram_index, "SCAN_BLOCK", 2)
+    texts = ["The Quarterly revenue of the chip maker", "revenue quarterly rises", "it is !! what", "", None, "chip chip chip", "étè naïve été", "x" * 30, "chip maker " * 90]
+    asked = ["quarterly revenue", "!!", "chip", "été", "chip maker of chips", "", None, "zzz qqq"]
+    q, c = spark.createDataFrame(list(enumerate(asked)), "query_id int, query_text string"), spark.createDataFrame(list(enumerate(texts)), "chunk_id int, search_text string")
+    listed = trigram_index.lexical_rank(q, c, 1000, 0.4, index=trigram_index.build(c)).collect()
+    monkeypatch.setattr(trigram_index, "build", lambda chunks: pytest.fail("lists of all texts for a few queries"))
+    assert sorted(listed) == sorted(trigram_index.lexical_rank(q, c, 1000, 0.4).collect()) != []
+
+
 def test_fused_search_with_the_trigram_half(spark, tmp_path):
     """Ranks of both halves and their fusion, by plain loops over a few texts."""
     rng = np.random.default_rng(12)

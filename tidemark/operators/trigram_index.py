@@ -19,10 +19,14 @@ from .blocks import CANDIDATES, QUERY_BLOCK, TASKS, TEXT_BLOCK, blocks_of, in_bl
 
 #: Posting lists of one trigram that meet a query in one place; a commoner trigram's lists are dealt to several.
 LISTS_PER_SALT = 256
-#: Growth of the stretches that are bounded together and windows for the length of one; the same where a window is looked at again.
-WIDER, WINDOWS, WIDER_AGAIN, WINDOWS_AGAIN = 1.3, 4, 1.1, 12
+#: Places of the steps in which stretches are bounded, first for all queries, then for those left.
+STEPS = 48, 12
 #: Texts with more trigrams go without bounds.
 MOST_GRAMS = 4096
+#: Queries that every text meets without an index, so many in one place; more of them go through the lists.
+SCANNED, SCAN_BLOCK = 2048, 256
+#: Entries of a block's table of trigrams and queries; a larger one is not laid out.
+TABLE = 1 << 25
 
 
 @dataclass
@@ -101,73 +105,66 @@ class Needles:
     def __init__(self, texts: list[str], threshold: float):
         self.texts, self.threshold = [t.lower() for t in texts], threshold
         self.grams = [set(arrow.trigrams(t)) for t in self.texts]
-        self.size = np.array([len(g) for g in self.grams])
+        self.size = np.array([len(g) for g in self.grams], int)
+        self.inner = np.array([sum(" " not in x for x in g) for g in self.grams], int)  # those that a text has which holds the query
         self.need = np.ceil(threshold * self.size - 1e-9).astype(int)
         self.known = {g: i for i, g in enumerate(dict.fromkeys(g for grams in self.grams for g in grams))}
         self.flat = np.array([self.known[g] for grams in self.grams for g in grams], int)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.place = np.full(len(self.known) + 1, -1)  # of the block's trigrams in the text at hand
+        self.table: np.ndarray | None = None
+        if (len(self.known) + 1) * len(texts) <= TABLE:
+            self.table = np.zeros((len(self.known) + 1, len(texts)), np.float32)  # the last row: any other trigram
+            self.table[self.flat, np.repeat(np.arange(len(texts)), self.size)] = 1
 
     def found(self, text: str, asked: list[int], gated: list[bool]) -> Iterator[tuple[int, bool, float]]:
         """(query, whether the text holds it, its similarity) of those asked for that count."""
-        text = text.lower()
-        exact = {i for i, g in zip(asked, gated, strict=True) if g and self.texts[i] in text}
+        text, asked = text.lower(), np.array(asked, int)
         grams = Grams(arrow.trigrams(text))
-        near = {i for i in asked if i not in exact} if self.threshold <= 0 else set(self._may_be_near(grams, np.array([i for i in asked if i not in exact], int)).tolist())
+        has = self._has(grams, asked)
+        common = has.sum(0)
+        exact = {i for i in asked[np.array(gated, bool) & (common >= self.inner[asked])].tolist() if self.texts[i] in text}
+        near = set(asked.tolist()) if self.threshold <= 0 else set(self._may_be_near(grams, asked, has, common).tolist())
         for i in sorted(exact | near):
             score = grams.similarity(self.grams[i]) if self.grams[i] else 0.0
             if i in exact or score >= self.threshold:
                 yield i, i in exact, score
 
-    def _may_be_near(self, grams: Grams, asked: np.ndarray) -> np.ndarray:
+    def _may_be_near(self, grams: Grams, asked: np.ndarray, has: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Those asked for that a stretch may be similar to: no other can reach the threshold t.
 
-        A stretch with d distinct trigrams must share c >= t (n + d) / (1 + t)
-        of a query's n. For stretches of low < d <= high, every one lies within
-        a window that begins at a multiple of high / 4 and ends where it has
-        high + high / 4 distinct trigrams; what the query shares with such a
-        window bounds c. Windows that leave c open are cut into narrower ones.
+        A stretch that shares c of a query's n distinct trigrams and has u
+        others is as similar as t where c - t u >= t n. One that begins in one
+        step of places and ends in another shares no more than both steps and
+        all between them, and has at least the others that lie between them.
         """
-        t = self.threshold
-        has = self._has(grams, asked)
-        common = has.sum(1)
         some = (common >= self.need[asked]) & (self.need[asked] > 0)
-        asked, has, common = asked[some], has[some], common[some]
-        if not len(asked) or len(grams.at) > MOST_GRAMS:
+        asked, has = asked[some], has[:, some]
+        if len(grams.at) > MOST_GRAMS:
             return asked
-        n, shared = self.size[asked], has[:, grams.at].T
-        widest, may = np.floor(common * (1 + 1 / t) - n + 1e-6), np.zeros(len(asked), bool)
-        least = lambda low: t * (n + low + 1) / (1 + t) - 1e-6
-        low = int(self.need[asked].min()) - 1
-        while low < widest.max():
-            high = max(low + 1, int(low * WIDER))
-            left = np.flatnonzero(~may & (widest > low) & (common >= least(low)))
-            if len(left):
-                step = max(1, high // WINDOWS)
-                starts = np.arange(0, len(grams.at), step)
-                wide = grams.shared(starts, high + step, shared[:, left]) >= least(low)[left]
-                left, again, low2 = left[wide.any(0)], starts[wide.any(1)], low
-                while len(left) and low2 < high:
-                    high2 = min(high, max(low2 + 1, int(low2 * WIDER_AGAIN)))
-                    step2 = max(1, high2 // WINDOWS_AGAIN)
-                    narrow = (again[:, None] + np.arange(0, step, step2)[None]).ravel()
-                    may[left[(grams.shared(narrow[narrow < len(grams.at)], high2 + step2, shared[:, left]) >= least(low2)[left]).any(0)]] = True
-                    left, low2 = left[~may[left] & (widest[left] > high2)], high2
-            low = high
-        return asked[may]
-
+        for step in STEPS:
+            if not len(asked):
+                break
+            shared, others = grams.in_steps(step, has)
+            shared[1:, :-1] -= self.threshold * others[:-1, 1:]
+            left = shared.max((0, 1)) >= self.threshold * self.size[asked] - 1e-3
+            asked, has = asked[left], has[:, left]
+        return asked
 
     def _has(self, grams: Grams, asked: np.ndarray) -> np.ndarray:
-        """(queries, kinds): 1 where a query has that trigram of the text."""
+        """(kinds, queries): 1 where a query has that trigram of the text."""
+        if self.table is not None:
+            rows = self.table[[self.known.get(g, len(self.known)) for g in grams.kinds]]
+            return rows if len(asked) == len(self.texts) and (asked == np.arange(len(asked))).all() else rows[:, asked]
         known = [(self.known[g], i) for g, i in grams.kinds.items() if g in self.known]
-        has = np.zeros((len(asked), len(grams.kinds)), np.float32)
+        has = np.zeros((len(grams.kinds), len(asked)), np.float32)
         if known and len(asked):
             here = np.array(known)
             self.place[here[:, 0]] = here[:, 1]
             size = self.size[asked]
             row = np.repeat(np.arange(len(asked)), size)
             at = self.place[self.flat[np.arange(len(row)) + np.repeat(self.begin[asked] - (np.cumsum(size) - size), size)]]
-            has[row[at >= 0], at[at >= 0]] = 1
+            has[at[at >= 0], row[at >= 0]] = 1
             self.place[here[:, 0]] = -1
         return has
 
@@ -190,11 +187,16 @@ class Grams:
         starts = starts[:, None]
         return (self.before[None] < starts) & (np.arange(len(self.at))[None] >= starts)
 
-    def shared(self, starts: np.ndarray, most: int, has: np.ndarray) -> np.ndarray:
-        """(starts, queries): distinct trigrams that each query shares with the stretch of `most` distinct ones from each start on; has: (places, queries)."""
-        new = self.first_in_stretch(starts)
-        new &= np.cumsum(new, axis=1, dtype=np.int16) <= most
-        return new.astype(np.float32) @ has
+    def in_steps(self, step: int, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last step, first step, queries): distinct trigrams from the first to the last step that each query has, and that it has not; has: (kinds, queries)."""
+        n = -(-len(self.at) // step)
+        new = np.zeros((n, n * step), np.float32)
+        new[:, : len(self.at)] = self.first_in_stretch(np.arange(0, len(self.at), step))
+        hits = np.zeros((n * step, has.shape[1]), np.float32)
+        hits[: len(self.at)] = has[self.at]
+        by = new.reshape(n, n, step).transpose(1, 0, 2)
+        shared = np.cumsum(by @ hits.reshape(n, step, -1), axis=0)
+        return shared, np.cumsum(by.sum(2), axis=0)[:, :, None] - shared
 
     def similarity(self, query: set[str]) -> float:
         """Greatest share of common trigrams over all stretches, as arrow.similarity_within has it; best stretches begin and end with a trigram of the query."""
@@ -217,6 +219,34 @@ def _looked_through(needles: Needles, asked: pa.Table, held: list[tuple]) -> lis
     return [(ids[i], c, exact, score) for c, t, some, gated in held for i, exact, score in needles.found(t, some, gated)]
 
 
+def _kinds(queries: DataFrame, chunks: DataFrame) -> tuple[list[pa.DataType], str]:
+    """Arrow types of the columns of pairs, and their schema."""
+    kinds = [queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType]
+    return [to_arrow_type(kinds[0]), to_arrow_type(kinds[1]), pa.bool_(), pa.float64()], f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, exact boolean, lexical double"
+
+
+def _pairs(out: list[tuple], types: list[pa.DataType]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["query_id", "chunk_id", "exact", "lexical"])
+
+
+def scanned_pairs(queries: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
+    """What lexical_pairs gives, without an index: every text meets every block of queries, whose bounds leave few pairs to compare. Null texts are left out."""
+    ship(chunks.sparkSession)
+    types, schema = _kinds(queries, chunks)
+
+    def look(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows = list(zip(held["chunk_id"].to_pylist(), held["search_text"].to_pylist(), strict=True))
+        out = []
+        for at in range(0, asked.num_rows if rows else 0, SCAN_BLOCK):
+            some = asked.slice(at, SCAN_BLOCK)
+            every = list(range(some.num_rows))
+            out += _looked_through(Needles(some["query_text"].to_pylist(), threshold), some, [(c, t, every, [True] * len(every)) for c, t in rows])
+        return _pairs(out, types)
+
+    texts = chunks.where("search_text IS NOT NULL").select("chunk_id", "search_text")
+    return in_blocks(queries.where("query_text IS NOT NULL").select("query_id", "query_text"), texts, TEXT_BLOCK, look, schema)
+
+
 def lexical_pairs(queries: DataFrame, index: TrigramIndex, threshold: float) -> DataFrame:
     """(query_id, chunk_id, exact, lexical) of every chunk that holds a query or is as similar to it.
 
@@ -224,10 +254,8 @@ def lexical_pairs(queries: DataFrame, index: TrigramIndex, threshold: float) ->
     that it is a candidate of. Queries that no list can give (no trigram inside
     a word, or a threshold of zero) meet all chunks in blocks.
     """
-    kinds = [queries.schema["query_id"].dataType, index.chunks.schema["chunk_id"].dataType]
-    types = [to_arrow_type(kinds[0]), to_arrow_type(kinds[1]), pa.bool_(), pa.float64()]
-    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, exact boolean, lexical double"
-    table = lambda out: pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["query_id", "chunk_id", "exact", "lexical"])
+    kind = queries.schema["query_id"].dataType.simpleString()
+    types, schema = _kinds(queries, index.chunks)
     q = queries.where("query_text IS NOT NULL").select("query_id", "query_text")
     ship(q.sparkSession)
 
@@ -236,14 +264,14 @@ def lexical_pairs(queries: DataFrame, index: TrigramIndex, threshold: float) ->
             inside = [threshold > 0 and any(" " not in g for g in arrow.trigrams(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inside, pa.bool_())], names=["query_id", "query_text", "listed"])
 
-    q = q.mapInArrow(mark, f"query_id {kinds[0].simpleString()}, query_text string, listed boolean")
+    q = q.mapInArrow(mark, f"query_id {kind}, query_text string, listed boolean")
 
     def look(held: pa.Table, asked: pa.Table) -> pa.Table:
         if not held.num_rows or not asked.num_rows:
-            return table([])
+            return _pairs([], types)
         place = {x: i for i, x in enumerate(asked["query_id"].to_pylist())}
         rows = zip(held["chunk_id"].to_pylist(), held["search_text"].to_pylist(), held["asked"].to_pylist(), strict=True)
-        return table(_looked_through(Needles(asked["query_text"].to_pylist(), threshold), asked, [(c, t, [place[x["query_id"]] for x in some], [x["gate"] for x in some]) for c, t, some in rows]))
+        return _pairs(_looked_through(Needles(asked["query_text"].to_pylist(), threshold), asked, [(c, t, [place[x["query_id"]] for x in some], [x["gate"] for x in some]) for c, t, some in rows]), types)
 
     known = q.where("listed")
     blocks, slots = blocks_of(q, QUERY_BLOCK), blocks_of(index.chunks, TEXT_BLOCK, 8 * TASKS)
@@ -255,27 +283,21 @@ def lexical_pairs(queries: DataFrame, index: TrigramIndex, threshold: float) ->
     texts = found.select("slot", "block", "query_id").distinct().join(known.select("query_id", "query_text"), "query_id").select("slot", "block", "query_id", "query_text").toDF("slot", "block", "query_id", "query_text")
     pairs = met(held, texts, ["slot", "block"], look, schema)
     rest = q.where("NOT listed").drop("listed")
-    if rest.isEmpty():
-        return pairs
-
-    def look_everywhere(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not held.num_rows or not asked.num_rows:
-            return table([])
-        every = list(range(asked.num_rows))
-        rows = zip(held["chunk_id"].to_pylist(), held["search_text"].to_pylist(), strict=True)
-        return table(_looked_through(Needles(asked["query_text"].to_pylist(), threshold), asked, [(c, t, every, [True] * len(every)) for c, t in rows]))
-
-    return pairs.union(in_blocks(rest, index.chunks, TEXT_BLOCK, look_everywhere, schema))
+    return pairs if rest.isEmpty() else pairs.union(scanned_pairs(rest, index.chunks, threshold))
 
 
 def lexical_rank(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, threshold: float = 0.6, exact_first: bool = True, index: TrigramIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, exact, lexical, rank): chunks that hold the query or are trigram-similar to it (WIN-2, 9).
 
     queries: (query_id, query_text), chunks: (chunk_id, search_text), or an
-    index of them that is there. Every chunk counts that holds the query,
+    index of them that is there. SCANNED queries at most meet all texts; for
+    more of them, or where one is given, an index says which. Every chunk counts that holds the query,
     whatever the case of its letters, or has a stretch whose similarity reaches
     the threshold; exact substrings rank first, then by trigram similarity.
     Empty and null queries and null texts count for nothing.
     """
     order = [F.col("exact").desc()] * exact_first + [F.col("lexical").desc(), F.col("chunk_id")]
-    return top_ranked(lexical_pairs(queries.where("query_text <> ''"), index or build(chunks), threshold), "query_id", order, k)
+    asked = queries.where("query_text <> ''")
+    few = index is None and asked.limit(SCANNED + 1).count() <= SCANNED
+    pairs = scanned_pairs(asked, chunks, threshold) if few else lexical_pairs(asked, index or build(chunks), threshold)
+    return top_ranked(pairs, "query_id", order, k)
