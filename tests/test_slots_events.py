@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import cluster, filings
 from tidemark.sources import files
 
@@ -55,3 +57,13 @@ def test_code_sync(spark):
     register = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "d"), ("3", "c"), (None, "y"), ("5", "")], kind)
     got = {r.stock_code: (r.corp_code, r.outcome) for r in files.sync_codes(stocks, register).collect()}
     assert got == {"1": ("a", "same"), "2": ("b", "changed"), "3": ("d", "changed"), "4": (None, "missing"), None: ("x", "missing"), "5": ("e", "missing")}
+
+
+def test_patterns_are_tried_only_where_their_label_stands(spark):
+    """A label without a day gives way to its next place and to the next label; no pattern runs over a text without its label."""
+    texts = ["일시 미정, 일시 2024.3.5", "개최일시 없음" + "-" * 130 + " 일시 2024년 3월 6일", "x" * 500, None]
+    rows = spark.createDataFrame([(i, "기업설명회(IR) 개최", t) for i, t in enumerate(texts)], "i int, title string, raw_text string")
+    got = filings.event_rows(rows)
+    assert [r.d for r in got.orderBy("i").select(F.col("event_date").cast("string").alias("d")).collect()] == ["2024-03-05", "2024-03-06", None, None]
+    tried = str(filings._after(F.col("raw_text"), ("일시", "시간"), "(x)", 9, lambda g: g(1)))
+    assert tried.count("contains(raw_text") == tried.count("regexp_extract(") == 2

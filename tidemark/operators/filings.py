@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,14 +146,19 @@ def grade_amount(answer: Column, value: Column) -> Column:
 
 
 def _after(c: Column, labels: tuple[str, ...], pattern: str, within: int, value) -> Column:
-    """Of the labels in order, the first whose next match within so many signs gives a value; `value` makes it of the groups."""
-    return F.coalesce(*[value(lambda i, x=label: F.regexp_extract(c, rf"(?sU)\Q{x}\E.{{0,{within}}}?{pattern}", i)) for label in labels])
+    """Of the labels in order, the first whose next match within so many signs gives a value; `value` makes it of the groups.
+
+    Patterns are tried only on texts that hold their label, and from its first place on.
+    """
+    rest = lambda x: F.substr(c, F.instr(c, x))
+    return F.coalesce(*[F.when(F.contains(c, F.lit(label)), value(lambda i, x=label: F.regexp_extract(rest(x), rf"(?sU)\Q{x}\E.{{0,{within}}}?{pattern}", i))) for label in labels])
 
 
 def event_type(title: Column) -> Column:
     """Kind of a company event by the first pattern that a title without blanks holds; else null."""
-    compact = F.regexp_replace(title, r"(?U)\s+", "")
-    return F.coalesce(*[F.when(F.rlike(compact, F.lit("|".join(rf"\Q{p}\E" for p in patterns))), kind) for kind, patterns in V.EVENT_TITLES])
+    kinds = lambda compact: F.coalesce(*[F.when(reduce(or_, [F.contains(compact, F.lit(p)) for p in patterns]), kind) for kind, patterns in V.EVENT_TITLES])
+    # A lambda's argument is made once for all patterns.
+    return F.get(F.transform(F.array(F.regexp_replace(title, r"(?U)\s+", "")), kinds), 0)
 
 
 def event_rows(rows: DataFrame) -> DataFrame:
@@ -172,7 +180,7 @@ def event_rows(rows: DataFrame) -> DataFrame:
     place, said = F.lit(None).cast("string"), lambda x: rf"(?U)\Q{x}\E\s*[:：]?\s*([^\n]{{2,240}})"
     for label in reversed(V.EVENT_PLACES):
         found = F.regexp_replace(F.regexp_replace(F.regexp_extract(raw, said(label), 1), r"(?U)\s+", " "), "^[ :-]+|[ :-]+$", "")
-        place = F.when(F.rlike(raw, F.lit(said(label))), F.nullif(found, F.lit(""))).otherwise(place)
+        place = F.when(F.contains(raw, F.lit(label)) & F.rlike(raw, F.lit(said(label))), F.nullif(found, F.lit(""))).otherwise(place)
     paid = F.when(F.col("event_type") == "dividend", text.amount(F.regexp_extract(raw, "(?sU)" + V.DIVIDEND, 1)))
     head = F.concat_ws(" ", F.col("title"), F.substring(raw, 1, 5000))
     status = F.when(head.contains("철회") | head.contains("취소"), "cancelled").when(F.col("title").startswith("["), "changed").otherwise("scheduled")
