@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrow, models, pages, text, vectors
+from tidemark.functions import fixed_values as V
 from tidemark.ship import ship
 
 
@@ -180,3 +181,38 @@ def test_titles_terms_units_and_signatures(value):
     assert tuple(s) == (["a"], "b c", ["1", "2"], "unknown")
     assert tuple(value(text.event_signature("j"), j="none")) == ([], None, [], "unknown")
     assert tuple(value(text.event_signature("j"), j='{"core_topic": "t", "story_relation": "reaction"}')) == ([], "t", [], "reaction")
+
+
+def test_info_patterns_are_tried_where_one_of_their_words_stands(spark):
+    """Every form of every pattern holds one of its words, and the score counts what all patterns tried on every text count."""
+    import re
+    from re import _constants as K
+    from re import _parser
+
+    def forms(parts) -> set[str]:
+        out = {""}
+        for op, x in parts:
+            if op is K.LITERAL:
+                some = {chr(x)}
+            elif op is K.IN:
+                some = {"7" if x[0][1] is K.CATEGORY_DIGIT else " "} if x[0][0] is K.CATEGORY else {"x" if x[0][0] is K.NEGATE else chr(x[0][1][0] if x[0][0] is K.RANGE else x[0][1])}
+            elif op is K.BRANCH:
+                some = set().union(*map(forms, x[1]))
+            elif op is K.SUBPATTERN:
+                some = forms(x[3])
+            elif op is K.MAX_REPEAT:
+                some = {s * n for s in forms(x[2]) for n in {x[0], x[0] + 1} if n <= x[1]}
+            else:
+                some = {"" if op is K.AT else "x"}
+            out = {a + b for a in out for b in some}
+        return out
+
+    name_list = r"[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}"
+    texts = {"", "a,b,c", "ab,cd,ef", "xab, cd· ef", "ab,c,de", "ab,cd,,ef", "ab cd,ef,gh"}
+    for p, words in zip(V.INFO_PATTERNS, V.INFO_WORDS, strict=True):
+        here = {x for x in forms(_parser.parse(p)) if re.search(p, x)}
+        assert here and all(any(w in x for w in words) for x in here), p
+        texts |= {f"뉴스 {x}" for x in sorted(here)[:4]}
+    texts = sorted(texts)
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(text.info_score("t").alias("n")).collect()]
+    assert got == [sum(bool(re.search(p, t)) for p in [*V.INFO_PATTERNS, name_list]) for t in texts]

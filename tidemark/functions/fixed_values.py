@@ -129,8 +129,16 @@ INFO_PATTERNS = [
     r"쏠린\s*눈|주목받|주목한다|이목",
     r"남는\s*장사|진짜\s*무기|쫄\s*필요",
 ]
+# Words for each of the patterns above: a text without any of them can't match it.
+INFO_WORDS = [
+    ("검색",), ("데이터랩",), ("검색",), ("초고수",), ("고수",), ("순위",), ("TOP",), ("상위",), ("선호",), ("많이",), ("가장",), ("20",), ("종목",), ("종목", "주식"),
+    ("만한",), ("거래소",), ("매수", "매도"), ("집중",), ("폭풍",), ("실현",), ("포트폴리오",), ("GPIF", "국민연금", "연기금"), ("ADR",), ("프리",), ("브리핑",), ("리뷰",), ("전망",), ("특징주",),
+    ("포착",), ("사자", "팔자"), ("담",), ("샀다", "팔았다"), ("은", "대"), ("세대",), ("더블배거",), ("주가",), ("주가",), ("장",), ("거래일",), ("VI", "변동성"), ("보합",), ("주가", "향방은"),
+    ("주",), ("원",), ("만평",), ("낙수효과",), ("베이스캠프",), ("모멘텀",), ("랠리",), ("양극화",), ("조선", "방산", "주식", "배터리"), ("빅",), ("업황", "업계"), ("시험대", "재평가", "기대감"),
+    ("쏠린", "주목", "이목"), ("남는", "진짜", "쫄"),
+]
 # fixed value: three or more names in a row
-NAME_LIST = r"[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2,}"
+NAME_LIST = r"[가-힣A-Za-z]{2}[·,]\s*[가-힣A-Za-z]{2,}[·,]\s*[가-힣A-Za-z]{2}"
 
 # fixed value: titles of opinion pieces
 OPINION = (

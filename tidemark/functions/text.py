@@ -140,8 +140,10 @@ def market_score(title, description) -> Column:
 
 
 def info_score(title) -> Column:
+    """Number of patterns that the text matches; a pattern is tried only where one of its words stands."""
     t = F.coalesce(as_column(title), F.lit(""))
-    return reduce(lambda a, b: a + b, [F.rlike(t, F.lit(p)).cast("int") for p in [*V.INFO_PATTERNS, V.NAME_LIST]])
+    tried = [any_of(t, words) & F.rlike(t, F.lit(p)) for p, words in zip([*V.INFO_PATTERNS, V.NAME_LIST], [*V.INFO_WORDS, ("·", ",")], strict=True)]
+    return reduce(lambda a, b: a + b, [x.cast("int") for x in tried])
 
 
 def is_info(title, description) -> Column:
