@@ -479,3 +479,14 @@ def test_robots_and_inventory(spark, tmp_path):
     assert rows(files.read_csv(spark, str(csv), "a int, b string")) == [(1, "x, y")]
 
 
+
+
+def test_nearest_by_few_queries_at_once(spark, monkeypatch):
+    """A block of queries goes through a part of the chunks AT_ONCE rows at a time; ties and all ranks stay as by one product."""
+    monkeypatch.setattr(search, "AT_ONCE", 3)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (40, 4)).astype(float)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
+    got = search.semantic_rank(chunks.withColumnRenamed("chunk_id", "query_id"), chunks, 5).collect()
+    near = x @ x.T
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == [(i, n, int(j)) for i in range(40) for n, j in enumerate(np.lexsort((range(40), -near[i]))[:5], 1)]
