@@ -216,3 +216,12 @@ def test_info_patterns_are_tried_where_one_of_their_words_stands(spark):
     texts = sorted(texts)
     got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(text.info_score("t").alias("n")).collect()]
     assert got == [sum(bool(re.search(p, t)) for p in [*V.INFO_PATTERNS, name_list]) for t in texts]
+
+
+def test_pages_go_back_a_few_at_a_time(spark, monkeypatch):
+    """Rows meet their own pages, whatever the number that goes back at once; pages without a text among them."""
+    monkeypatch.setattr(pages, "PAGES", 2)
+    ship(spark)
+    html = [f"<title>t{i}</title><article>text {i}</article>" if i % 3 else [None, ""][i % 2] for i in range(11)]
+    rows = spark.createDataFrame(list(enumerate(html)), "i int, h string").coalesce(1)
+    assert {r.i: r.t for r in rows.select("i", pages.found(F.lit("https://a.example/"), F.col("h"))["title"].alias("t")).collect()} == {i: f"t{i}" if i % 3 else None for i in range(11)}
