@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import arrow
 from tidemark.operators import blocks, communities, trigram_index, vector_index
@@ -126,6 +127,42 @@ def test_rounds_are_the_small_graph(spark, monkeypatch):
     assert {r.id: r.community for r in communities.communities(vertices, edges).collect()} == got
 
 
+def test_blocks_raise_the_quality_by_the_sum_of_their_gains(spark, monkeypatch):
+    """Few steps, few of them with nothing but an independent set, and a quality near that of one task."""
+    edges = nearest_edges("/root/testdata/sf0.001")
+    small = communities.SmallGraph(*edges.T, 1.0)
+    at = small.solve()
+    want = plain_quality(edges, dict(zip(small.ids.tolist(), small._parts(at).tolist(), strict=True)))
+    monkeypatch.setattr(communities, "SMALL_EDGES", 300)
+    monkeypatch.setattr(communities, "BLOCK_EDGES", 600)
+    wishes, steps, dealt, deal = communities.wishes, [], [], communities.deal
+    monkeypatch.setattr(communities, "wishes", lambda *a: steps.append(1) or wishes(*a))
+
+    def first_deal(state, wanting, step, most):
+        got, blocks = deal(state, wanting, step, most)
+        if blocks > 1 and not dealt:
+            size = {r.block: r.n for r in state.join(got, "community").groupBy("block").agg(F.sum("ends").alias("n")).collect()}
+            dealt.append((blocks, size))
+        return got, blocks
+
+    monkeypatch.setattr(communities, "deal", first_deal)
+    table = spark.createDataFrame([(a, b, w / UNITS) for a, b, w in edges.tolist()], "a long, b long, w double")
+    got = {r.id: r.community for r in communities.communities(spark.createDataFrame([(x,) for x in small.ids.tolist()], "id long"), table).collect()}
+    assert plain_quality(edges, got) >= 0.97 * want and len(steps) <= 60
+    assert dealt[0][0] >= 3 and max(dealt[0][1].values()) < 3 * 1200  # blocks of about the size asked for
+
+    monkeypatch.undo()
+    graph = communities.in_units(table).cache()
+    state = communities.degrees(graph).withColumns({"community": F.col("id"), "ends": F.lit(5).cast("long")})
+    both = communities._both_ways(graph)
+    given, blocks = communities.deal(state, communities.wishes(both, state, small.weight, 1.0), 0, 600)
+    moves = {r.id: r.target for r in communities.block_moves(graph, state, given, blocks, small.weight, 1.0).collect()}
+    block = {r.community: r.block for r in given.collect()}
+    assert blocks >= 3 and moves and all(block[x] == block[c] for x, c in moves.items())
+    after = {x: moves.get(x, x) for x in small.ids.tolist()}
+    assert plain_quality(edges, after) > plain_quality(edges, {x: x for x in after})
+
+
 def test_steps_of_both_forms_are_equal(spark, monkeypatch):
     """The three ways to choose, on one state of a graph with many wishes."""
     edges = nearest_edges("/root/testdata/sf0.001")
