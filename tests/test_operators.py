@@ -3,10 +3,13 @@
 import io
 import itertools
 import json
+import math
 import time
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +350,66 @@ def test_cluster_stream_is_the_batch(spark, tmp_path):
     assert {r.article_id: r.cluster_id for r in spark.table("cluster_rows").collect()} == want
 
 
+class FakeMap(dict):
+    """A map state that counts the messages about single keys."""
+
+    calls = 0
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self[k] = v
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self[k]
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self
+
+
+def test_state_keeps_only_articles_of_the_window():
+    """Of many articles in a batch only those of the window are written; a repeated one is known in the batch and in the next."""
+    states = {"clusters": FakeMap(), "seen": FakeMap()}
+    handle = SimpleNamespace(getMapState=lambda name, *_: states[name], listTimers=lambda: [], registerTimer=lambda at: None)
+    fold = jobs.Assigner(cluster.Rules(threshold=0.25), None, "long", "long")
+    fold.init(handle)
+    batch = pd.DataFrame({"article_id": [*range(1000), 999], "t_hours": [*(i / 2.0 for i in range(1000)), 499.5], "vec": [[1.0, 0.0]] * 1001})
+    out = pd.concat(fold.handleInputRows((1,), iter([batch]), None))
+    assert len(out) == 1000 and not out.error.notna().any()
+    assert states["seen"] == {(i,): (i / 2.0,) for i in range(951, 1000)} and states["seen"].calls == 49
+    again = pd.DataFrame({"article_id": [999, 1000], "t_hours": [499.5, 500.0], "vec": [[1.0, 0.0]] * 2})
+    assert pd.concat(fold.handleInputRows((1,), iter([again]), None)).article_id.tolist() == [1000]
+    assert states["seen"] == {(i,): (i / 2.0,) for i in range(952, 1001)}
+
+
+def test_one_pass_gives_clusters_and_those_still_open(spark):
+    rules = cluster.Rules(threshold=0.25)
+    data = [(i % 2, (1 << 60) + i, i * 0.7, [math.cos(i), math.sin(i)]) for i in range(90)]
+    a = spark.createDataFrame(data, "stock_code long, article_id long, t_hours double, vec array<double>")
+    done, held = cluster.clusters_and_open(a, rules)
+    of = lambda df: sorted(map(tuple, df.collect()))
+    assert of(done) == of(cluster.online_clusters(a, rules)) and of(held) == of(cluster.open_clusters(a, rules)) and held.count()
+
+
+def test_state_has_partitions_by_cores(spark, tmp_path):
+    data = [(i % 3, i, i * 0.7, [1.0, 0.0]) for i in range(6)]
+    kind = "stock_code long, article_id long, t_hours double, vec array<double>"
+    spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        jobs.run_once(jobs.cluster_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), cluster.Rules()), f"{tmp_path}/c", name="few_rows")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [x for x in (tmp_path / "c" / "state" / "0").iterdir() if x.name.isdigit()]
+    assert len(parts) <= 2 * spark.sparkContext.defaultParallelism and spark.table("few_rows").count() == 6
+
+
 def test_cluster_stream_goes_on_from_open_clusters(spark, tmp_path):
     """Stopped after any article and hydrated from the clusters left open, it is as if it had never stopped; in judge mode too."""
     data, df = articles(spark, n=40)

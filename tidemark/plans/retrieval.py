@@ -363,9 +363,9 @@ def stream_clusters_resumed(spark, d):
     first = _articles(spark, d).join(half, F.lit(True)).where("article_id <= half").drop("half")
     rows = _stream(spark, d, "embeddings").select(F.col("label").alias("stock_code"), F.col("vec_id").alias("article_id"), (F.col("vec_id") * 0.05).alias("t_hours"), vectors.unit("embedding").alias("vec"))
     later = rows.join(half, F.lit(True)).where("article_id > half").drop("half")
-    jobs.run_once(jobs.cluster_stream(later, rules, initial=written(cluster.open_clusters(first, rules), "open-clusters")), f"{at}/c", name=name)
-    done = cluster.online_clusters(first, rules).select("stock_code", "article_id", "cluster_id", "is_new")
-    return done.union(spark.table(name).select("stock_code", "article_id", "cluster_id", "is_new"))
+    done, held = cluster.clusters_and_open(first, rules)
+    jobs.run_once(jobs.cluster_stream(later, rules, initial=written(held, "open-clusters")), f"{at}/c", name=name)
+    return done.select("stock_code", "article_id", "cluster_id", "is_new").union(spark.table(name).select("stock_code", "article_id", "cluster_id", "is_new"))
 
 
 @QUERIES.add(_FOLD + "SELECT stock_code, article_id, cluster_id, is_new FROM r")

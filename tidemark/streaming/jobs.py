@@ -90,17 +90,22 @@ class Assigner(StatefulProcessor):
     def _held(self) -> State:
         return from_rows([(*k, *v) for k, v in self.clusters.iterator()])
 
-    def _keep(self, state: State, newest: float) -> None:
-        """Write what is open, forget the rest, and wake when the last of it closes."""
+    def _keep(self, state: State, newest: float, seen: dict | None = None) -> None:
+        """Write what is open, forget the rest, and wake when the last of it closes. seen: hours of the articles held and of the new ones."""
         rows = {r[0]: r for r in to_rows(state)}
         for (k,) in list(self.clusters.keys()):
             if k not in rows:
                 self.clusters.removeKey((k,))
         for k, r in rows.items():
             self.clusters.updateValue((k,), tuple(r[1:]))
-        for (k,), (t,) in list(self.seen.iterator()):
+        # Each call is a message to the state server: articles that are not to be kept are never written.
+        held = {k: t for (k,), (t,) in self.seen.iterator()}
+        for k, t in ((seen or {}) | held).items():
             if newest - t > self.rules.window_hours:
-                self.seen.removeKey((k,))
+                if k in held:
+                    self.seen.removeKey((k,))
+            elif k not in held:
+                self.seen.updateValue((k,), (t,))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if rows:
@@ -115,9 +120,9 @@ class Assigner(StatefulProcessor):
         state, out, newest = self._held(), [], None
         rows = pd.concat(list(rows)).sort_values(["t_hours", "article_id"]).to_dict("records")
         try:
-            new = {}
+            new, seen = {}, {k for (k,) in self.seen.keys()}
             for r in rows:
-                if r["article_id"] in new or self.seen.containsKey((r["article_id"],)):
+                if r["article_id"] in new or r["article_id"] in seen:
                     continue
                 prune(state, self.rules, r["t_hours"])
                 out.append({"stock_code": key[0], "article_id": r["article_id"], **assign(state, self.rules, r, np.asarray(r["vec"], dtype=float), r["t_hours"], self.judge), "error": None})
@@ -125,10 +130,8 @@ class Assigner(StatefulProcessor):
         except Exception as failure:  # noqa: BLE001  one stock's failure is a row; its state stays as it was
             yield pd.DataFrame([(key[0], *[None] * 6, f"{type(failure).__name__}: {failure}")], columns=ASSIGNED, dtype=object)
             return
-        for k, t in new.items():
-            self.seen.updateValue((k,), (t,))
         if new:
-            self._keep(state, newest)
+            self._keep(state, newest, new)
         yield pd.DataFrame(out, columns=ASSIGNED, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -191,11 +194,17 @@ def retry_stream(attempts: DataFrame, most: int = 3, wait_ms: int = 600_000) ->
     return attempts.groupBy("key").applyInPandasWithState(fold, f"key {kind}, state string, failures int", "failures int", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Partitions of a stream's state for each core; a checkpoint keeps the number that it began with.
+STATE_TASKS = 2
+
+
 def run_once(stream: DataFrame, checkpoint: str, batch=None, name: str | None = None, mode: str = "append"):
     """Run a stream over what is there and stop: into a function per batch, or a view `name` of Parquet files beside the checkpoint.
 
     Each batch has a folder of its own that a repeated batch writes anew; in
     complete mode a batch is the table and all have one. No row reaches the driver.
+    State lies in STATE_TASKS partitions a core at most: each opens its store
+    and, for state in Python, a worker in every batch, however few keys it has.
     """
     rows = f"{checkpoint}-rows"
 
@@ -204,15 +213,20 @@ def run_once(stream: DataFrame, checkpoint: str, batch=None, name: str | None =
 
     if not batch:
         stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/{'all' if mode == 'complete' else 0}")
-    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    conf = stream.sparkSession.conf
-    before = conf.get(provider, None)
-    conf.set(provider, rocks)  # what map states and timers need; the session's own setting comes back once the query has read it
+    conf, shuffles = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    # RocksDB is what map states and timers need; the session's own settings come back once the query has read these.
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if not batch:
+        own[shuffles] = str(min(int(conf.get(shuffles)), STATE_TASKS * stream.sparkSession.sparkContext.defaultParallelism))
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).foreachBatch(batch or put).start()
         q.awaitTermination()
     finally:
-        conf.set(provider, before) if before else conf.unset(provider)
+        for k, v in before.items():
+            conf.set(k, v) if v else conf.unset(k)
     if not batch:
         stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(rows).createOrReplaceTempView(name)
     return q
