@@ -103,3 +103,24 @@ def test_an_empty_batch_is_a_batch(spark, tmp_path):
     assert store.read("t").count() == 0
     store.commit({"t": (row, ["id"], "at")})
     assert sorted(map(tuple, store.read("t").collect()), key=str) == [(2, 2), (None, 1)]
+
+
+def test_a_batch_merges_its_runs_once(spark, tmp_path, monkeypatch):
+    """Until the last stage the ledger holds the rows of `runs`, also those of a batch that never went on."""
+    staged, stage = [], BucketStore.stage
+    monkeypatch.setattr(BucketStore, "stage", lambda self, table, *rest: staged.append(table) or stage(self, table, *rest))
+    store = BucketStore(spark, f"file://{tmp_path}/t", 70)
+    batch = spark.createDataFrame(BATCHES[0], ROWS)
+    stages = [cycle.Stage("one", lambda b, read: {"a": (b.select("article_id", "ts"), ["article_id"], "ts")}), cycle.Stage("two", lambda b, read: {})]
+
+    def before(name):
+        if name == "two":
+            raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        cycle.cycle(store, stages, before)(batch, 0)
+    assert [r[:3] for r in store.snapshot().ledger["runs"]] == [[0, "one", "done"]] and store.read("runs") is None
+    cycle.cycle(store, stages)(spark.createDataFrame(BATCHES[1], ROWS), 1)
+    assert staged.count("runs") == 1 and store.snapshot().ledger["runs"] == []
+    assert sorted((r.batch, r.stage, r.rows.get("a")) for r in store.read("runs").collect()) == [(0, "one", 8), (1, "one", 10), (1, "two", None)]
+    assert sorted(r.article_id for r in store.read("a").collect()) == list(range(16))

@@ -6,11 +6,14 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .merge import upsert
+from .merge import arrivals, latest
+
+#: Parts of a bucket that are merged apart, in tasks of their own where there are many rows.
+PARTS = 8
 
 
 class Conflict(RuntimeError):
@@ -66,19 +69,27 @@ class BucketStore:
 
         Of a key's rows the latest arrival stays. Rows are written once before
         they are looked at twice; only the numbers of touched buckets reach
-        the driver.
+        the driver, as bits observed beside that write.
         """
         version = uuid.uuid4().hex
         incoming = f"{self.folder}/tmp/{version}"
-        rows.withColumn("bucket", self.bucket(keys)).write.parquet(incoming)
+        words, seen = range(-(-self.buckets // 64)), Observation(f"touched-{version}")
+        bits = [F.bit_or(F.when(F.floor(F.col("bucket") / 64) == i, F.expr("shiftleft(1L, bucket % 64)"))).alias(f"w{i}") for i in words]
+        rows.withColumn("bucket", self.bucket(keys)).observe(seen, *bits).write.parquet(incoming)
         rows_again = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(incoming)
-        touched = sorted(r.bucket for r in rows_again.select("bucket").distinct().collect())
+        held = seen.get
+        touched = [b for b in range(self.buckets) if (held.get(f"w{b // 64}") or 0) >> b % 64 & 1]
         known = base.tables.get(table, {"buckets": {}})
         before = self.read(table, base, touched)
         new = rows_again.drop("bucket")
-        merged = upsert(before if before is not None else new.limit(0), new, keys, arrival)
+        both = arrivals(before if before is not None else new.limit(0), new)
+        # One shuffle by bucket and a part of its keys: whoever meets a key's rows also writes its bucket.
+        h = F.xxhash64(*keys)
+        placed = both.withColumns({"bucket": self.bucket(keys), "__part": F.pmod(F.shiftright(h, 32), F.lit(PARTS))}).repartition("bucket", "__part")
+        merged = latest(placed, ["bucket", "__part", *keys], arrival).drop("__part")
         if touched:
-            merged.withColumn("bucket", self.bucket(keys)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{table}/{version}")
+            merged.write.partitionBy("bucket").parquet(f"{self.folder}/{table}/{version}")
+        merged = merged.drop("bucket")
         self._fs.delete(self._path(incoming), True)
         return {"schema": merged.schema.jsonValue(), "keys": keys, "buckets": {**known["buckets"], **{str(b): version for b in touched}}}
 

@@ -23,7 +23,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], arrival: s
 
     Ties of arrival go to the incoming row. One shuffle on the keys.
     """
-    both = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    return latest(arrivals(existing, incoming), keys, arrival)
+
+
+def arrivals(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows of both, those of incoming marked by `__new`."""
+    return existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+
+
+def latest(both: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """The latest arrival of each key among arrivals(), ties to the incoming row."""
     return keep_first(both, keys, [F.col(arrival).desc_nulls_last(), F.col("__new").desc()]).drop("__new")
 
 

@@ -312,7 +312,7 @@ def news_stages() -> list[cycle.Stage]:
         return {"articles": (batch.select("article_id", "stock_code", "kind", "value", "ts", *[F.lit(None).cast(t).alias(c) for c, t in (("status", "string"), ("relevant", "boolean"), ("role", "string"), ("cluster_id", "string"))], F.lit(0).alias("step")), keys, "step")}
 
     def of_batch(batch, read):
-        return read("articles").join(batch.select("article_id").distinct(), "article_id")
+        return read("articles").join(batch.select("article_id"), "article_id", "left_semi")
 
     def crawl(batch, read):
         return {"articles": (of_batch(batch, read).withColumn("status", F.when(F.col("kind") == "error", "failed").otherwise("success")).withColumn("step", F.lit(1)), keys, "step")}
@@ -326,13 +326,13 @@ def news_stages() -> list[cycle.Stage]:
     def assign(batch, read):
         waiting = read("articles").where("role = 'event' AND cluster_id IS NULL")
         newest = F.lit(batch.agg(F.max("ts")).first()[0])
-        found = cycle.recovery_set(waiting.join(batch.select("article_id").distinct(), "article_id"), waiting, keys, "ts", newest)
+        found = cycle.recovery_set(waiting.join(batch.select("article_id"), "article_id", "left_semi"), waiting, keys, "ts", newest)
         named = found.withColumn("cluster_id", F.concat_ws(":", "stock_code", F.date_format("ts", "yyyy-MM-dd"))).withColumn("step", F.lit(4))
         return {"articles": (named.select(*waiting.columns), keys, "step")}
 
     def summarise(batch, read):
         members = read("articles").where("cluster_id IS NOT NULL")
-        touched = members.join(of_batch(batch, read).where("cluster_id IS NOT NULL").select("cluster_id").distinct(), "cluster_id")
+        touched = members.join(of_batch(batch, read).where("cluster_id IS NOT NULL").select("cluster_id"), "cluster_id", "left_semi")
         return {"clusters": (touched.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"), F.round(F.sum("value"), 6).alias("total")), ["cluster_id"], "n")}
 
     return [cycle.Stage("collect", collect), cycle.Stage("crawl", crawl), cycle.Stage("relevance", relevance), cycle.Stage("roles", roles), cycle.Stage("cluster", assign), cycle.Stage("summary", summarise, isolated=True)]

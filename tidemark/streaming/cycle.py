@@ -34,8 +34,10 @@ RUNS = "runs"
 def cycle(store: BucketStore, stages: list[Stage], before: Callable[[str], None] | None = None):
     """A foreachBatch function that runs the stages in order (ST-12, 25, 32).
 
-    A stage's rows, its row in the table `runs` (batch, stage, status, rows,
-    error: ST-16) and its entry in the ledger are published as one. A batch
+    A stage's rows and its entry in the ledger, with its row of the table
+    `runs` (batch, stage, status, rows, error: ST-16), are published as one;
+    the last stage of a batch moves those rows from the ledger to the table,
+    so that a batch merges them once. A batch
     that comes again, since its run was killed, skips the stages that the
     ledger has for it, so each stage's changes are made once. Row counts come
     from observe(), beside the write. before(stage) is called before a stage
@@ -46,7 +48,7 @@ def cycle(store: BucketStore, stages: list[Stage], before: Callable[[str], None]
     def run(batch: DataFrame, batch_id: int) -> None:
         now = store.snapshot()
         if now.ledger.get("batch") != batch_id:
-            now = Snapshot(now.number, now.tables, {"batch": batch_id, "done": []})
+            now = Snapshot(now.number, now.tables, {"batch": batch_id, "done": [], "runs": now.ledger.get("runs", [])})
         for stage in stages:
             if stage.name in now.ledger["done"]:
                 continue
@@ -62,19 +64,21 @@ def cycle(store: BucketStore, stages: list[Stage], before: Callable[[str], None]
                     for table, (rows, keys, by) in stage.work(batch, read).items():
                         seen[table] = Observation(f"{stage.name}-{table}-{now.number}")
                         changes[table] = (rows.observe(seen[table], F.count(F.lit(1)).alias("n")), keys, by)
-                now = _commit(store, now, ledger, changes, seen, (batch_id, stage.name, status, error))
+                now = _commit(store, now, ledger, changes, seen, (batch_id, stage.name, status, error), stage is stages[-1])
             except Exception as failure:  # noqa: BLE001
                 if not stage.isolated:
                     raise
-                now = _commit(store, now, ledger, {}, {}, (batch_id, stage.name, "failed", f"{type(failure).__name__}: {failure}"[:500]))
+                now = _commit(store, now, ledger, {}, {}, (batch_id, stage.name, "failed", f"{type(failure).__name__}: {failure}"[:500]), stage is stages[-1])
 
-    def _commit(store: BucketStore, now: Snapshot, ledger: dict, changes: Changes, seen: dict[str, Observation], entry: tuple) -> Snapshot:
+    def _commit(store: BucketStore, now: Snapshot, ledger: dict, changes: Changes, seen: dict[str, Observation], entry: tuple, last: bool) -> Snapshot:
         staged = {name: store.stage(name, *change, now) for name, change in changes.items()}
         # An observation is there once its rows were written.
         counts = {name: int(o.get["n"]) for name, o in seen.items()}
-        row = spark.createDataFrame([(*entry, counts, now.number + 1)], "batch long, stage string, status string, error string, rows map<string,long>, number long")
-        staged[RUNS] = store.stage(RUNS, row, ["batch", "stage"], "number", now)
-        return store.switch(now, staged, ledger)
+        runs = [*now.ledger.get("runs", []), [*entry, counts, now.number + 1]]
+        if last:
+            rows = spark.createDataFrame([tuple(r) for r in runs], "batch long, stage string, status string, error string, rows map<string,long>, number long")
+            staged[RUNS], runs = store.stage(RUNS, rows, ["batch", "stage"], "number", now), []
+        return store.switch(now, staged, ledger | {"runs": runs})
 
     return run
 
