@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -486,6 +487,45 @@ def test_lm_counts_and_learns_every_word(spark, monkeypatch):
     assert 0 < fitted["mass"].sum() < len(ids)
 
 
+def test_lm_meets_each_word_once_a_batch():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r[1] for r in AWKWARD] + ["a\x0bB\x0cc\r\n", " \t", "x\x1cy\x85z\u2003w A a", "the " * 5000]
+    distinct, numbers, size = lm_scoring.cut_words(pa.array(texts, pa.string()))
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [distinct[i] for i in numbers.tolist()] == [w for t in plain for w in (*t, b"\n")]
+    assert size.tolist() == [len(t) + 1 for t in plain] and len(set(distinct)) == len(distinct)
+    a, b = token_files.WordEncoder(path), token_files.WordEncoder(path)
+    for got, want in zip(a.encode_numbered(distinct, numbers, size), b.encode_words(plain)):
+        assert np.array_equal(got, want)
+    assert list(a) == list(b)
+
+
+def test_plain_pieces_have_the_tokenizers_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, enc = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 50)  # pieces are forgotten many times
+    rng = np.random.default_rng(8)
+    letters = np.array([c for c in map(chr, range(33, 0x260)) if not c.isspace()])
+    for _ in range(40):
+        words = ["".join(rng.choice(letters, rng.integers(1, 9))).lower() for _ in range(20)] + ["été", "ªº", "ǆx", "σς", "日本"]
+        words = [w for w in words if w.isalpha()]
+        ids, size = enc.encode([w.encode() for w in words], end=None)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert token_files._plain("été") and not token_files._plain("É") and not token_files._plain("日本")
+
+
+@pytest.mark.parametrize("width", [1, 16, 31, 32])
+def test_lm_add_rows(width):
+    from tidemark.llm import attention as A
+
+    rng = np.random.default_rng(6)
+    index, rows = rng.integers(0, 9, (300, 2))[:, 0], rng.normal(size=(300, width)).astype(np.float32)
+    want = np.stack([rows[index == i].sum(0) for i in range(12)])
+    assert np.allclose(A.add_rows(index, rows, 12), want, atol=1e-4)
+
+
 def test_lm_learner_takes_every_window(monkeypatch):
     from tidemark.llm import attention as A
 
