@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrow
-from tidemark.operators import blocks, communities, trigram_index, vector_index
+from tidemark.operators import blocks, communities, search, trigram_index, vector_index
 from tidemark.plans import registry
 from tidemark.plans.retrieval import corpus
 
@@ -361,3 +361,25 @@ def test_blocks_copy_rows_no_oftener_than_their_label_needs(spark, monkeypatch):
         got = blocks.in_blocks(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id"), 8, pairs, "a long, b long", ["label"])
         assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(64) for b in range(64) if a % 4 == b % 4]
     assert dealt == [(64, 128)] * 2  # 16 rows a label: one block of questions, two parts of chunks
+
+
+def test_rows_that_stream_by_are_copied_a_few_times(spark, monkeypatch):
+    """Copies follow the cores and the bytes a task may hold, not the number of blocks; ties, labels, texts as ids and odd vectors rank as by one product."""
+    kind, dealt = type(spark.range(0)), []
+    repartition = kind.repartition
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 16)
+    x = np.random.default_rng(8).integers(-2, 3, (640, 4)).astype(float)
+    rows = spark.createDataFrame([(f"v{i:03d}", v.tolist(), i % 3 if i % 7 else None) for i, v in enumerate(x)] + [("none", None, 1), ("odd", [float("nan")] * 4, 1)], "id string, embedding array<double>, label int")
+    q, c = rows.where("id <> 'odd'").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id")
+    near = x @ x.T
+    for by, held in ((None, 1 << 25), (["label"], 1 << 25), (None, 100 * 32), (["label"], 50 * 32)):
+        monkeypatch.setattr(blocks, "HELD_BYTES", held, raising=False)
+        monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(self.count()) or repartition(self, *a))
+        ranked = search.semantic_rank(q, c, 5, by)
+        monkeypatch.setattr(kind, "repartition", repartition)
+        want = []
+        for i in range(640):
+            pool = [j for j in range(640) if not by or (i % 7 and j % 7 and i % 3 == j % 3)]
+            want += [(f"v{i:03d}", n, f"v{j:03d}") for n, j in enumerate(sorted(pool, key=lambda j: (-near[i, j], j))[:5], 1)] if not by or i % 7 else []
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in ranked.collect()) == want
+    assert len(dealt) == 4 and max(dealt) <= 640 * 12, dealt  # 40 blocks of queries would copy every row 40 times
