@@ -383,3 +383,25 @@ def test_rows_that_stream_by_are_copied_a_few_times(spark, monkeypatch):
             want += [(f"v{i:03d}", n, f"v{j:03d}") for n, j in enumerate(sorted(pool, key=lambda j: (-near[i, j], j))[:5], 1)] if not by or i % 7 else []
         assert sorted((r.query_id, r["rank"], r.chunk_id) for r in ranked.collect()) == want
     assert len(dealt) == 4 and max(dealt) <= 640 * 12, dealt  # 40 blocks of queries would copy every row 40 times
+
+
+def test_linkage_keeps_no_pairs(spark, monkeypatch):
+    """Rounds of searches, and values that a task finishes, give what merging the nearest pair gives; the query makes no table of pairs."""
+    monkeypatch.setattr(communities, "near_pairs", None)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)) + np.repeat(rng.normal(size=(9, 5)) * 1.5, 10, axis=0)
+    x[40:44] = x[40]  # copies
+    rows = [(i, v.tolist(), "ab"[i % 2] if i < 80 else "c") for i, v in enumerate(x)]
+    awkward = [(100, None, "a"), (101, [0.0] * 5, "a"), (102, x[1].tolist(), None), (103, [float("nan")] * 5, "b"), (104, [float("inf"), 1.0, 1.0, 1.0, 1.0], "b"), (3, x[3].tolist(), "b"), (None, x[5].tolist(), "a")]
+    v = spark.createDataFrame(rows + awkward, "id long, embedding array<double>, kind string")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {i: i for i in range(100, 105)}
+    for kind in "abc":
+        ids = [i for i, _, k in rows if k == kind]
+        want |= merged_one_by_one(ids, unit[ids], 0.3)
+    for small in (2048, 12):
+        monkeypatch.setattr(communities, "SMALL_CLUSTERS", small, raising=False)
+        assert {r.id: r.cluster for r in communities.linkage_within(v, 0.3, "kind").collect()} == want, small
+    assert communities.linkage_within(v.limit(0), 0.3, "kind").count() == 0
+    plan = registry.queries()["linkage_clusters"]
+    assert plan(spark, "/root/testdata/sf0.001").count() == 500

@@ -22,8 +22,10 @@ def norm(a) -> Column:
 
 def unit(a) -> Column:
     """L2-normalised; a zero vector stays as it is."""
-    size = norm(a)
-    return F.transform(as_column(a), lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
+    a = as_column(a)
+    # Through an array of one, the length is taken once a vector, not once a component.
+    of_size = F.transform(F.array(norm(a)), lambda size: F.transform(a, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size)))
+    return F.get(of_size, 0)
 
 
 def cosine(a, b) -> Column:
