@@ -543,6 +543,30 @@ def test_lm_learner_takes_every_window(monkeypatch):
     assert np.allclose(whole.mass.sum(), resp[:, : A.MIX].sum(), rtol=1e-3)
 
 
+def test_lm_learner_moves_by_every_window(monkeypatch):
+    """Each block's step has the gradient of all of its windows, whatever pieces it goes through in; ids of any block move."""
+    from tidemark.llm import attention as A
+
+    monkeypatch.setattr(A.Learner, "BLOCK", 40)
+    monkeypatch.setattr(A.Learner, "PIECE", 9, raising=False)
+    ids = np.concatenate([np.arange(4, 304), np.random.default_rng(4).integers(4, 304, 2000)])
+    w, y, _ = A.to_blocks(ids, np.array([300, 1, 1000, 999]))
+    model = A.start_model(np.bincount(ids, minlength=304))
+    learner = A.Learner(model, 0.0)
+    got = learner.gradient(w[50:90], y[50:90])  # begins and ends within texts
+    _, c = A.forward(model, learner.dist, w[50:90], y[50:90], 1.0)
+    want, _ = A.gradient(model, w[50:90], c)
+    at = {"key": slice(0, A.KEY), "value": slice(A.KEY, A.HEARD - 1), "query": slice(A.HEARD, A.HEARD + A.KEY), "own": slice(A.HEARD + A.KEY, -1)}
+    got |= {k: got["rows"][:, s] for k, s in at.items()} | {"share": got["share"][:-1], "share0": got["share"][-1]}
+    for k in A.LEARNT:
+        assert np.allclose(got[k], want[k], rtol=1e-3, atol=1e-7), k
+    monkeypatch.setattr(A.Learner, "BLOCK", 2)
+    learner = A.Learner(model, 0.01)
+    learner.learn(w[:37], y[:37])  # ids 4 to 299, once each
+    moved = (learner.model["own"] != model["own"]).any(1)
+    assert moved[4:299].all() and learner.windows == 37
+
+
 def test_lm_awkward(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = lm_scoring.score_texts(docs(spark), path).toPandas()
