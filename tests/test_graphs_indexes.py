@@ -1,6 +1,8 @@
 """Communities, average linkage and the two indexes, against plain versions."""
 
 import collections
+import pathlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -8,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import shared
 from tidemark.functions import arrow
 from tidemark.operators import blocks, communities, search, trigram_index, vector_index
 from tidemark.plans import registry
@@ -405,3 +408,16 @@ def test_linkage_keeps_no_pairs(spark, monkeypatch):
     assert communities.linkage_within(v.limit(0), 0.3, "kind").count() == 0
     plan = registry.queries()["linkage_clusters"]
     assert plan(spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = [pathlib.Path(f.getPath()) for f in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in dirs for f in d.rglob("shuffle_*")}
+    before, set_to = shuffled(), spark.conf.get(shared.CLEANUP, None)
+    out = shared.written(spark.range(50_000).selectExpr("id % 700 AS k", "id").groupBy("k").count(), "left-over")
+    for _ in range(50):  # deleted behind the query's end
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(shared.CLEANUP, None) == set_to
+    assert out.agg(F.sum("count")).first()[0] == 50_000
