@@ -164,6 +164,18 @@ def test_models_get_one_batch_as_values_and_leave_other_columns_alone(spark):
     assert got.where("far = TIMESTAMP '9999-12-31 00:00:00'").count() == 1201
 
 
+def test_models_get_full_batches_whatever_arrow_holds(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), spark.range(0, 1201, 1, 1).selectExpr("id AS x")
+    try:
+        for size in ("7", "1024"):
+            spark.conf.set(key, size)
+            got = models.apply_model(rows, "x", lambda: lambda xs: [f"{len(xs)} {x}" for x in xs], "said", "string", batch=100).collect()
+            assert [r.said for r in got] == [f"{100 if x < 1200 else 1} {x}" for x in range(1201)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tables(value):
     kinds = value(text.column_kinds("h"), h=["2023A", "2024E", "2025F", "x"])
     assert kinds == ["actual", "estimate", "forecast", "unknown"]

@@ -40,21 +40,33 @@ def apply_model(df: DataFrame, column: str, make: Callable[[], Callable[[list],
             except Exception:  # noqa: BLE001  the row's own failure
                 return None
 
-        for b in batches:
-            for lo in range(0, b.num_rows, some):
-                rows, said = b.slice(lo, some), []
-                for begin in range(0, rows.num_rows, batch):
-                    part = rows.column(at).slice(begin, batch).to_pylist()
-                    try:
-                        said += model(part)
-                    except Exception:  # noqa: BLE001
-                        said += [one(x) for x in part]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, made, from_pandas=True)], names=names)
-
-    some = batch * max(1, ROWS_OUT // batch)  # of an Arrow batch, given back together
+        for rows in in_full(batches, some):
+            said = []
+            for begin in range(0, rows.num_rows, batch):
+                part = rows.column(at).slice(begin, batch).to_pylist()
+                try:
+                    said += model(part)
+                except Exception:  # noqa: BLE001
+                    said += [one(x) for x in part]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, made, from_pandas=True)], names=names)
+
+    some = batch * max(1, ROWS_OUT // batch)  # given back together
     return df.mapInArrow(run, out)
 
 
+def in_full(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, `size` of them at a time but for the last, however many an Arrow batch of the session holds."""
+    waiting, n = [], 0
+    for b in batches:
+        waiting, n = [*waiting, b], n + b.num_rows
+        while n >= size:
+            rows = pa.Table.from_batches(waiting)
+            yield from rows.slice(0, size).combine_chunks().to_batches()
+            waiting, n = rows.slice(size).to_batches(), n - size
+    if n:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list], list]:
     """A stand-in for an embedding service: words hashed into a unit vector."""
     import zlib
